@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm import langid, quality
+from millrace.llm import langid, mixing, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """Place of the public vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predicted(docs, langid.fit(docs))
@@ -27,6 +41,8 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_first_fit_packing": op2_first_fit_packing,
+    "op3_pareto_mix": op3_pareto_mix,
     "op6_language_codes": op6_language_codes,
     "op7_rule_ledger": op7_rule_ledger,
 }
