@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, mixing, packing, quality
+from millrace.llm import langid, media, mixing, packing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.with_features(media.with_headers(media.stored(table(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "format")
+
+
 def op2_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -40,11 +45,18 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.written(table(spark, sf_dir, "pages"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_media_shards": op1_media_shards,
     "op2_first_fit_packing": op2_first_fit_packing,
     "op3_pareto_mix": op3_pareto_mix,
     "op6_language_codes": op6_language_codes,
     "op7_rule_ledger": op7_rule_ledger,
+    "op9_warc_index_first": op9_warc_index_first,
 }
 
 #: SQL for the queries that SQL can express; the others are tested against brute force, a round trip or held-out labels.
