@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +80,21 @@ def running_start(df: DataFrame, order: list[Column], amount: str, out: str) ->
     )
 
 
-def batch_of(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    """A record batch of named value lists with their types."""
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
+#: Byte ranges closer than GAP are read at once, up to READ bytes.
+GAP, READ = 64 << 10, 8 << 20
+
+
+def coalesced(ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[int]]]:
+    """Sorted ranges (file, offset, length) as few reads: file, start, end and the numbers of the ranges inside."""
+    file, start, end, inside = "", 0, 0, []
+    for i in sorted(range(len(ranges)), key=lambda i: ranges[i][:2]):
+        f, o, n = ranges[i]
+        if inside and f == file and o - end <= GAP and o + n - start <= READ:
+            end = max(end, o + n)
+            inside.append(i)
+            continue
+        if inside:
+            yield file, start, end, inside
+        file, start, end, inside = f, o, o + n, [i]
+    if inside:
+        yield file, start, end, inside

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, media, mixing, packing, quality, warc
+from millrace.llm import langid, media, mixing, packing, quality, tokenstore, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op5_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.read(tokenstore.write(table(spark, sf_dir, "documents"), word_tokenizer()))
+
+
 def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predicted(docs, langid.fit(docs))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op1_media_shards": op1_media_shards,
     "op2_first_fit_packing": op2_first_fit_packing,
     "op3_pareto_mix": op3_pareto_mix,
+    "op5_chunk_store": op5_chunk_store,
     "op6_language_codes": op6_language_codes,
     "op7_rule_ledger": op7_rule_ledger,
     "op9_warc_index_first": op9_warc_index_first,

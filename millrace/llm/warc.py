@@ -24,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, new_folder, spread, staged
+from millrace.llm.common import coalesced, filesystem, new_folder, spread, staged
 
 #: Bytes after which a task begins another archive file.
 ROLL = 512 << 20
-#: Ranges closer than GAP are read at once, up to READ bytes.
-GAP, READ = 64 << 10, 8 << 20
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long, file string, offset long, length long"
 #: Fixed value: the record date, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -109,22 +107,6 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def coalesced(ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[int]]]:
-    """Sorted ranges (file, offset, length) as few reads: file, start, end and the numbers of the ranges inside."""
-    file, start, end, inside = "", 0, 0, []
-    for i in sorted(range(len(ranges)), key=lambda i: ranges[i][:2]):
-        f, o, n = ranges[i]
-        if inside and f == file and o - end <= GAP and o + n - start <= READ:
-            end = max(end, o + n)
-            inside.append(i)
-            continue
-        if inside:
-            yield file, start, end, inside
-        file, start, end, inside = f, o, o + n, [i]
-    if inside:
-        yield file, start, end, inside
-
-
 def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """Reads the records that the index rows select: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
