@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, media, mixing, packing, quality, tokenstore, warc
+from millrace.llm import chat, htmlextract, langid, media, mixing, packing, quality, tokenstore, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(*chat.with_borrowed_answers(table(spark, sf_dir, "conversations")))
+
+
 def op5_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read(tokenstore.write(table(spark, sf_dir, "documents"), word_tokenizer()))
 
@@ -49,6 +53,10 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op8_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.written(table(spark, sf_dir, "pages"))
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,11 +66,44 @@ QUERIES: dict[str, Query] = {
     "op1_media_shards": op1_media_shards,
     "op2_first_fit_packing": op2_first_fit_packing,
     "op3_pareto_mix": op3_pareto_mix,
+    "op4_preference_pairs": op4_preference_pairs,
     "op5_chunk_store": op5_chunk_store,
     "op6_language_codes": op6_language_codes,
     "op7_rule_ledger": op7_rule_ledger,
+    "op8_tag_path_text": op8_tag_path_text,
     "op9_warc_index_first": op9_warc_index_first,
 }
 
 #: SQL for the queries that SQL can express; the others are tested against brute force, a round trip or held-out labels.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_preference_pairs": """
+WITH t AS (
+    SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, min(struct_pack(role := coalesce(role, 'unknown'), body := coalesce(text, ''))) AS b
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2
+), e AS (SELECT pair_id, turn, b.role AS role, b.body AS body FROM t),
+l AS (SELECT pair_id, max(turn) AS last, arg_max(body, turn) AS answer FROM e WHERE role = 'assistant' GROUP BY 1),
+m AS (
+    SELECT e.*, l.last, n.answer AS lent FROM e LEFT JOIN l USING (pair_id) LEFT JOIN l n ON n.pair_id = e.pair_id + 1 AND l.last IS NOT NULL
+    WHERE l.last IS NULL OR e.turn <= l.last
+), p AS (
+    SELECT pair_id, turn, role, body,
+        CASE WHEN turn = last AND lent IS NULL THEN NULL WHEN turn = last THEN lent ELSE body END AS other,
+        turn // 1024 AS part0
+    FROM m
+), c AS (SELECT pair_id, coalesce(min(turn) FILTER (WHERE other IS NULL OR other <> body), 9223372036854775807) AS cut FROM p GROUP BY 1),
+r AS (
+    SELECT p.*, greatest(part0, 0) AS part, cut,
+        '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) AS a,
+        '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS b,
+        CASE WHEN role = 'assistant' THEN '1:' ELSE '0:' END AS bit
+    FROM p JOIN c USING (pair_id)
+)
+SELECT pair_id, part, count(*) FILTER (WHERE turn < cut) AS n_prompt_turns,
+    coalesce(string_agg(a, '' ORDER BY turn) FILTER (WHERE turn < cut), '') AS prompt,
+    coalesce(string_agg(a, '' ORDER BY turn) FILTER (WHERE turn >= cut), '') AS chosen,
+    coalesce(string_agg(bit || length(a), ',' ORDER BY turn) FILTER (WHERE turn >= cut), '') AS chosen_mask,
+    coalesce(string_agg(b, '' ORDER BY turn) FILTER (WHERE turn >= cut AND b IS NOT NULL), '') AS rejected,
+    coalesce(string_agg(bit || length(b), ',' ORDER BY turn) FILTER (WHERE turn >= cut AND b IS NOT NULL), '') AS rejected_mask
+FROM r GROUP BY 1, 2
+""",
+}
