@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, htmlextract, langid, media, mixing, packing, quality, tokenstore, warc
+from millrace.llm import chat, htmlextract, langid, media, mixing, ngramjoin, packing, quality, tokenstore, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.joined(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_shards": op1_media_shards,
     "op2_first_fit_packing": op2_first_fit_packing,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op7_rule_ledger": op7_rule_ledger,
     "op8_tag_path_text": op8_tag_path_text,
     "op9_warc_index_first": op9_warc_index_first,
+    "op10_shingle_join": op10_shingle_join,
 }
 
 #: SQL for the queries that SQL can express; the others are tested against brute force, a round trip or held-out labels.
