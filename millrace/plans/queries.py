@@ -1,12 +1,8 @@
-"""Registered queries over the test tables and the SQL that gives the same rows."""
+"""All registered queries of the reference's operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from millrace.plans import page_queries, table_queries, text_queries  # noqa: F401  (importing registers)
+from millrace.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
