@@ -144,7 +144,7 @@ def grade(markdown: Column, source_size: Column, check_yield: bool = True) -> Co
         texts = F.array(warning) if warning is not None else F.array().cast("array<string>")
         return F.struct(F.lit(fidelity).alias("fidelity"), F.array(*map(F.lit, lost)).cast("array<string>").alias("lost"), texts.alias("warnings"))
 
-    three = lambda name, value: F.concat(F.lit(name + "="), F.format_number(value, "0.000"))
+    three = lambda name, value: F.concat(F.lit(name + "="), F.format_number(value, 3))
     result = F.when(stripped(markdown) == "", verdict("failed", ["all"], F.lit("empty_output")))
     result = result.when(garbage > MOST_GARBAGE, verdict("partial", ["encoding"], three("encoding_garbage_density", garbage)))
     result = result.when(cid > MOST_CID, verdict("partial", ["encoding"], three("cid_glyph_leak_line_fraction", cid)))
