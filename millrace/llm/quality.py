@@ -171,7 +171,8 @@ def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
-            yield batch.filter(pa.array([not any(c(*measure(t)) for c in checks) for t in texts], pa.bool_()))
+            measured = map(measure, texts)
+            yield batch.filter(pa.array([not any(fails(*m) for fails in checks) for m in measured], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
