@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import WORD_PATTERN, running_start, spread, staged
+from millrace.llm.common import WORD_PATTERN, running_start, sized, spread, staged
 
 CELLS = 512
 #: Fixed by contract: weights by rank of the source, repeating, and the most copies of a document.
@@ -68,7 +68,7 @@ def mixed(docs: DataFrame, weight_col: str | None = None, seed: int = 3, cap: in
     expected = F.when((F.col("source_size") > 0) & (F.col("weighted") > 0), F.least(F.lit(float(cap)), F.col("target") * F.col("w") / F.col("weighted"))).otherwise(0.0)
     ranked = (
         base.withColumn("key", _key("source"))
-        .join(known, "key")
+        .join(sized(known), "key")
         .withColumn("e", expected)
         .withColumn("whole", F.floor("e"))
         .withColumn("p", F.col("e") - F.col("whole"))
@@ -77,7 +77,7 @@ def mixed(docs: DataFrame, weight_col: str | None = None, seed: int = 3, cap: in
         .select("key", "doc_id", "size", "source_size", "target", "whole", "v")
     )
     due = ranked.groupBy("key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("due"))
-    cut = _cuts(ranked, staged(due, "due"))
+    cut = sized(staged(_cuts(ranked, staged(due, "due")), "cuts"))
     more = F.col("v").isNotNull() & F.col("cut_v").isNotNull() & ((F.col("v") < F.col("cut_v")) | (F.col("v") == F.col("cut_v")) & (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) <= F.col("cut_id")))
     copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long")
     return ranked.join(cut, "key", "left").withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -90,14 +90,15 @@ def _cuts(ranked: DataFrame, due: DataFrame) -> DataFrame:
     rows = ranked.where("v IS NOT NULL").select("key", "doc_id", "size", "v").withColumn("c1", one).withColumn("c2", two)
     at = due.withColumn("before", F.lit(0.0))
     for cell, same in (("c1", []), ("c2", ["c1"])):
-        inside = rows if not same else rows.join(at.select("key", *same), ["key", *same])
-        sums = inside.groupBy("key", cell).agg(F.sum("size").alias("words"))
+        inside = rows if not same else rows.join(sized(at).select("key", *same), ["key", *same])
+        # Written first: else the window's partitioning by source would gather each task's cells of a source in one task.
+        sums = staged(inside.groupBy("key", cell).agg(F.sum("size").alias("words")), "cells")
         order = Window.partitionBy("key").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.join(at, "key").withColumn("start", F.col("before") + F.coalesce(F.sum("words").over(order), F.lit(0)))
         # The cell that holds the last word due; beyond all cells, the last one.
         held = sums.where(F.col("start") < F.col("due")).groupBy("key").agg(F.max_by(F.struct(cell, "start", "due", *same), F.col(cell)).alias("m"))
         at = staged(held.select("key", *[F.col(f"m.{c}").alias(c) for c in (*same, cell, "due")], F.col("m.start").alias("before")), "cut")
-    last = rows.join(at, ["key", "c1", "c2"])
+    last = rows.join(sized(at), ["key", "c1", "c2"])
     order = Window.partitionBy("key").orderBy("v", "doc_id", "size")
     last = last.withColumn("id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     last = last.withColumn("end", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
