@@ -184,19 +184,19 @@ _FACTS = "SELECT p_partkey AS ord, p_brand AS package, p_type AS file, '_' || p_
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 2000")
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return p.select(k.alias("ord"), F.col("p_brand").alias("package"), F.col("p_type").alias("file"), cat("_", F.col("p_size")).alias("name"), (k % 7).alias("stmt_count"), (k % 11 == 0).alias("is_dunder"), (k % 11 != 0).alias("is_private"), F.concat(F.col("p_size").cast("string"), "p_brand").alias("body_hash"))
 
 
 @query(f"WITH f AS ({_FACTS.replace('p_size::VARCHAR || p_type', 'p_size::VARCHAR || p_brand')}) SELECT a.ord AS a_ord, b.ord AS b_ord FROM f a JOIN f b ON a.body_hash = b.body_hash AND a.ord < b.ord AND a.file <> b.file AND a.package = b.package WHERE a.stmt_count >= 3 AND b.stmt_count >= 3 AND NOT a.is_dunder AND NOT b.is_dunder")
 def duplicate_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.same_bodies(_facts(spark, sf_dir)).select("a_ord", "b_ord")
+    return duplicates.same_bodies(_facts(spark, sf_dir).where("ord <= 2000")).select("a_ord", "b_ord")
 
 
 @query(f"WITH f AS ({_FACTS}) SELECT a.ord AS a_ord, b.ord AS b_ord FROM f a JOIN f b ON a.name = b.name AND a.ord < b.ord AND a.file <> b.file AND a.package <> b.package WHERE NOT a.is_dunder AND NOT b.is_dunder AND a.ord <= 300 AND b.ord <= 300")
 def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.same_names(_facts(spark, sf_dir).where("ord <= 300"), cross_package=True).select("a_ord", "b_ord")
+    return duplicates.same_names(_facts(spark, sf_dir), cross_package=True).select("a_ord", "b_ord")
 
 
 @query("SELECT vec_id, round(1.0, 6) AS norm, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 0 THEN x ELSE 0 END)::DOUBLE[]), 5) AS even FROM embeddings")
