@@ -36,3 +36,7 @@ def test_duplicate_functions_of_all_parts(spark, tmp_path):
     parts.unionByName(higher).write.parquet(str(tmp_path / "part.parquet"))
     got = same_rows(spark, "duplicate_functions", str(tmp_path))
     assert max(r.b_ord for r in got) > 3003 and min(r.a_ord for r in got) < 2000
+
+
+def test_payload_rank_of_all_parts(spark):
+    assert max(r.p_partkey for r in same_rows(spark, "payload_rank")) > 500
