@@ -325,6 +325,21 @@ def test_one_of_each_group_stays(messy):
     assert set(got) == {r.component_id for r in comps}
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null and repeated doc_ids: unrelated texts under one key all stay, and each component keeps one row."""
+    a, b, c, d, e, f = family(11, 1, 60, 0) + family(12, 1, 60, 0) + family(13, 1, 60, 0) + family(14, 1, 60, 0) + family(15, 1, 60, 0) + family(16, 1, 60, 0)
+    docs = [(3, a), (5, a + " tail"), (5, b), (None, c), (None, c), (None, c + " tail"), (None, d), (7, e), (7, e), (7, e + " tail"), (8, f), (None, f), (None, None), (None, None), (9, ""), (9, " ")]
+    for n in range(20):
+        docs.append((None, family(100 + n, 1, 40, 0)[0]))
+    kept = ngramjoin.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+
+    groups = [{a, a + " tail"}, {b}, {c, c + " tail"}, {d}, {e, e + " tail"}, {f}, *({t} for _, t in docs[16:])]
+    assert [sum(r.text in g for r in kept) for g in groups] == [1] * len(groups)
+    assert Counter((r.doc_id, r.text) for r in kept if not (r.text or "").strip()) == Counter(docs[12:16])
+    ids = {r.text: r.doc_id for r in kept}
+    assert ids[a] == 3 and ids[b] == 5 and ids[d] is None and ids[f] == 8
+
+
 @given(st.lists(st.text(alphabet="aB \n,é", max_size=40), max_size=6))
 def test_shingle_sets(texts):
     assert [len(s) for s in sets([*texts, None])] == [len(shingle_set(t)) for t in [*texts, None]]
