@@ -1,5 +1,6 @@
 """Language ID, quality rules, extraction, chat, mixing, n-gram join, pipeline."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -140,6 +141,54 @@ def test_long_pages_are_whole(spark):
     assert htmlextract.extracted(rows.limit(0)).count() == 0
 
 
+LONG = "A sentence of the story, told at length, with its own commas and stops. It goes on, as stories do. "
+PLAIN = f"<body><div>Gazette</div><div><a href=/>Home</a> <a href=/n>News</a></div><div><h2>Head</h2><p>{LONG * 3}</p><div><a>Share</a> <a>Print</a></div><p>Short one.</p><ul><li>item</ul><p>{LONG * 2}</p></div><div>All rights kept</div></body>"
+PLAIN_TEXT = "\n".join(["Head", (LONG * 3).strip(), "Short one.", "item", (LONG * 2).strip()])
+
+
+def test_pages_without_telling_names_are_read_by_their_ratios(monkeypatch):
+    assert htmlextract.main_text(PLAIN) == PLAIN_TEXT
+    monkeypatch.setattr(htmlextract, "path_scores", lambda found: {b.path: 1.0 for b in found})
+    flat = htmlextract.main_text(PLAIN)
+    assert flat != PLAIN_TEXT and "Share Print" in flat
+
+
+def test_path_scores_against_a_plain_count():
+    _, found = htmlextract.parsed(PLAIN)
+    own = {}
+    for b in found:
+        same = [x for x in found if x.path == b.path]
+        own[b.path] = [math.log(1 + sum(len(x.text) for x in same) / len(same)), math.log(1 + sum(x.text.count(c) for x in same for c in ".,") / len(same))]
+    side = math.exp(-0.5)
+    want = defaultdict(list)
+    for i, b in enumerate(found):
+        around = [own[found[min(max(j, 0), len(found) - 1)].path] for j in (i - 1, i, i + 1)]
+        near = [(side * around[0][k] + around[1][k] + side * around[2][k]) / (1 + 2 * side) for k in (0, 1)]
+        want[b.path].append(math.sqrt(own[b.path][0] * near[0]) * (1 + math.sqrt(own[b.path][1] * near[1])))
+    got = htmlextract.path_scores(found)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(sum(v) / len(v)) for p, v in want.items())
+    assert len({b.path for b in found if b.text in (LONG * 3).strip() + "Short one."}) == 1
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='page has-sidebar'><div class=sidebar><p>s, t.</p></div><article>{ARTICLE}</article></div>",
+        f"<section class='reviews'>{ARTICLE}</section>",
+        f"<div class='social-layout'><div class=share>Share it</div>{ARTICLE}<div class=comments><h3>Said</h3><p>No, never.</p></div></div>",
+    ],
+)
+def test_marks_do_not_take_the_page_with_them(page):
+    assert htmlextract.main_text(page) == WANT
+
+
+def test_deep_pages_take_memory_and_time_in_proportion():
+    deep = "<div>" * 100_000 + "x" + "<b>" * 100_000 + f"<p>{LONG}"
+    assert htmlextract.main_text(deep).endswith(LONG.strip())
+    tree, _ = htmlextract.parsed(deep)
+    assert len(tree.steps) < 300_000
+
+
 @given(st.text(alphabet="<>/pb artice=\"'!-&;x\n", max_size=80))
 def test_extraction_never_raises(page):
     htmlextract.main_text(page)
