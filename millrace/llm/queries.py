@@ -36,7 +36,7 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(*chat.with_borrowed_answers(table(spark, sf_dir, "conversations")))
+    return chat.assembled(*chat.with_borrowed_answers(table(spark, sf_dir, "conversations")))
 
 
 def op5_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,33 +85,26 @@ _WORD = r"[^\x20\x09-\x0D]+"
 #: SQL for the queries that SQL can express; the others are tested against brute force, a round trip or held-out labels.
 ORACLE: dict[str, str] = {
     "op4_preference_pairs": """
-WITH t AS (
-    SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, min(struct_pack(role := coalesce(role, 'unknown'), body := coalesce(text, ''))) AS b
-    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2
-), e AS (SELECT pair_id, turn, b.role AS role, b.body AS body FROM t),
-l AS (SELECT pair_id, max(turn) AS last, arg_max(body, turn) AS answer FROM e WHERE role = 'assistant' GROUP BY 1),
-m AS (
-    SELECT e.*, l.last, n.answer AS lent FROM e LEFT JOIN l USING (pair_id) LEFT JOIN l n ON n.pair_id = e.pair_id + 1 AND l.last IS NOT NULL
-    WHERE l.last IS NULL OR e.turn <= l.last
+WITH e AS (
+    SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT pair_id, max(turn) AS last FROM e WHERE role = 'assistant' GROUP BY 1),
+a AS (SELECT e.pair_id, last, count(*) AS n, max(body) AS answer FROM e JOIN l ON l.pair_id = e.pair_id AND turn = last WHERE role = 'assistant' GROUP BY 1, 2),
+i AS (
+    SELECT a.pair_id, a.last, b.answer AS lent, CASE WHEN a.n = 1 AND a.answer = b.answer THEN 9223372036854775807 ELSE a.last END AS cut
+    FROM a LEFT JOIN a b ON b.pair_id = a.pair_id + 1
 ), p AS (
-    SELECT pair_id, turn, role, body,
-        CASE WHEN turn = last AND lent IS NULL THEN NULL WHEN turn = last THEN lent ELSE body END AS other,
-        turn // 1024 AS part0
-    FROM m
-), c AS (SELECT pair_id, coalesce(min(turn) FILTER (WHERE other IS NULL OR other <> body), 9223372036854775807) AS cut FROM p GROUP BY 1),
-r AS (
-    SELECT p.*, greatest(part0, 0) AS part, cut,
-        '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) AS a,
-        '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS b,
-        CASE WHEN role = 'assistant' THEN '1:' ELSE '0:' END AS bit
-    FROM p JOIN c USING (pair_id)
+    SELECT e.*, CASE WHEN turn = last AND role = 'assistant' THEN 1 ELSE 3 END AS side, coalesce(cut, 9223372036854775807) AS cut
+    FROM e LEFT JOIN i USING (pair_id) WHERE last IS NULL OR turn <= last
+    UNION ALL SELECT pair_id, last, 'assistant', lent, 2, cut FROM i WHERE lent IS NOT NULL
+), r AS (
+    SELECT *, greatest(turn, 0) // 1024 AS part, '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) AS x, CASE WHEN role = 'assistant' THEN '1:' ELSE '0:' END AS bit FROM p
 )
-SELECT pair_id, part, count(*) FILTER (WHERE turn < cut) AS n_prompt_turns,
-    coalesce(string_agg(a, '' ORDER BY turn) FILTER (WHERE turn < cut), '') AS prompt,
-    coalesce(string_agg(a, '' ORDER BY turn) FILTER (WHERE turn >= cut), '') AS chosen,
-    coalesce(string_agg(bit || length(a), ',' ORDER BY turn) FILTER (WHERE turn >= cut), '') AS chosen_mask,
-    coalesce(string_agg(b, '' ORDER BY turn) FILTER (WHERE turn >= cut AND b IS NOT NULL), '') AS rejected,
-    coalesce(string_agg(bit || length(b), ',' ORDER BY turn) FILTER (WHERE turn >= cut AND b IS NOT NULL), '') AS rejected_mask
+SELECT pair_id, part, 0::BIGINT AS piece, count(*) FILTER (WHERE side <> 2 AND turn < cut) AS n_prompt_turns,
+    coalesce(string_agg(x, '' ORDER BY turn, role, body) FILTER (WHERE side <> 2 AND turn < cut), '') AS prompt,
+    coalesce(string_agg(x, '' ORDER BY turn, role, body) FILTER (WHERE side <> 2 AND turn >= cut), '') AS chosen,
+    coalesce(string_agg(bit || length(x), ',' ORDER BY turn, role, body) FILTER (WHERE side <> 2 AND turn >= cut), '') AS chosen_mask,
+    coalesce(string_agg(x, '' ORDER BY turn, role, body) FILTER (WHERE side > 1 AND turn >= cut), '') AS rejected,
+    coalesce(string_agg(bit || length(x), ',' ORDER BY turn, role, body) FILTER (WHERE side > 1 AND turn >= cut), '') AS rejected_mask
 FROM r GROUP BY 1, 2
 """,
     "op7_rule_ledger": f"""

@@ -206,7 +206,7 @@ def test_preferences(spark):
     r = rows[1]
     assert (r.n_prompt_turns, r.prompt, r.chosen, r.chosen_mask) == (1, "<|user|>\nq<|end|>\n", "<|assistant|>\nyes<|end|>\n", "1:25")
     assert (r.rejected, r.rejected_mask) == ("<|assistant|>\nno<|end|>\n<|user|>\n?<|end|>\n", "1:24,0:18")
-    assert rows[2].prompt == "" and rows[3].prompt == "<|unknown|>\n<|end|>\n" and rows[4].chosen == rows[4].rejected == "" and rows[5].rejected == "" and rows[5].chosen
+    assert rows[2].prompt == "" and rows[3].prompt == "<|unknown|>\n<|end|>\n" and rows[4].chosen == "<|user|>\na<|end|>\n<|user|>\nb<|end|>\n" and rows[4].rejected == "<|user|>\na<|end|>\n" and rows[5].rejected == "" and rows[5].chosen
     none = spark.createDataFrame([], turn)
     assert chat.preferences(chat.turns(none), chat.turns(none)).count() == 0
 
@@ -219,6 +219,46 @@ def test_long_conversations_go_on_in_further_rows(spark):
     assert "".join(r.prompt + r.chosen for r in got) == "".join(f"<|user|>\n{i}<|end|>\n" for i in range(3000))
 
 
+def plain_pairs(a, b):
+    """Pairs by a plain loop over turns: prompt, chosen and rejected text."""
+    out = {}
+    show = lambda rows: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in rows)
+    for pair in {x[0] for x in a + b}:
+        sides = [defaultdict(list), defaultdict(list)]
+        for side, rows in zip(sides, (a, b), strict=True):
+            for _, turn, role, text in (x for x in rows if x[0] == pair):
+                side[turn].append((role, text))
+            for v in side.values():
+                v.sort()
+        places = sorted({*sides[0], *sides[1]})
+        n = next((i for i, t in enumerate(places) if sides[0][t] != sides[1][t]), len(places))
+        out[pair] = (show(x for t in places[:n] for x in sides[0][t]), *[show(x for t in places[n:] for x in s[t]) for s in sides])
+    return out
+
+
+@pytest.mark.parametrize(("part", "crowd"), [(1024, 4096), (3, 4)])
+def test_repeated_turns_all_stay(spark, monkeypatch, part, crowd):
+    monkeypatch.setattr(chat, "PART", part)
+    monkeypatch.setattr(chat, "CROWD", crowd)
+    r = random.Random(9)
+    a = [(r.randint(0, 6), r.randint(0, 5), r.choice(["user", "assistant"]), r.choice("xyz")) for _ in range(120)]
+    b = [x if r.random() < 0.9 else (*x[:3], "other") for x in a] + [(7, 0, "user", "alone")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = chat.preferences(chat.turns(spark.createDataFrame(a, schema)), chat.turns(spark.createDataFrame(b, schema))).collect()
+    parts = defaultdict(list)
+    for x in sorted(got, key=lambda x: (x.part, x.piece)):
+        parts[x.pair_id].append(x)
+    assert {k: tuple("".join(x[c] for x in v) for c in ("prompt", "chosen", "rejected")) for k, v in parts.items()} == plain_pairs(a, b)
+    assert (len(got) > 30) == (part == 3)
+
+
+def test_long_texts_are_rendered_whole(spark):
+    rows = [(1, 0, "user", "q " * 500_000), (1, 1, "assistant", "a " * 500_000), (2, 0, "assistant", "b " * 500_000)]
+    got = {x.pair_id: x for x in chat.assembled(*chat.with_borrowed_answers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1].prompt == "<|user|>\n" + rows[0][3] + "<|end|>\n" and got[1].rejected_mask == f"1:{len(got[1].rejected)}" and rows[2][3] in got[1].rejected
+    assert got[2].rejected == "" and got[2].chosen
+
+
 def test_chat_uses_no_python_on_executors(spark):
     plan = QUERIES["op4_preference_pairs"](spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|MapPartitions", plan)
