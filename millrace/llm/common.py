@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +20,21 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="millrace-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Unset on a local master (tests): a folder of this machine.  Unset on a cluster: beside the warehouse,
-    which is shared by definition; a machine-local folder is never used there.
+    Unset on a local master, where driver and executors are one process (tests): a folder of this machine.
+    Unset on a cluster: beside the warehouse, which is shared by definition; a machine-local folder is never used there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local[") or not root and spark.sparkContext.master == "local":
-        root = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_millrace"
+    if not root:
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        root = _local_folder() if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_millrace"
     return root if re.match(r"^[A-Za-z][\w+.-]*:", root) else f"file://{root}"
 
 
@@ -36,10 +43,40 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the folders of the tables that `staged` writes inside, but for those it is told to keep."""
+    scope: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), scope))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in scope:
+            removed(path)
+
+
+def removed(path: str) -> None:
+    """Removes a folder of the shared root, if it is there."""
+    fs, place = filesystem(path)
+    if fs.get_file_info(place).type.name == "Directory":
+        fs.delete_dir(place)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Inside `scratch` the table goes when that block ends; kept tables last one block longer, and those
+    of no block until the shared folder is emptied, as a lazy result may still read them.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    scopes = _SCOPES.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,9 +87,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out anew only when a small input came in fewer splits than there are cores."""
+    """Deals rows out anew only when a scan came in fewer splits than there are cores; anything above an exchange is dealt already."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
 #: Rows up to which a written table goes to every task whole.
@@ -93,12 +133,12 @@ def running_start(df: DataFrame, order: list[Column], amount: str, out: str) ->
 GAP, READ = 64 << 10, 8 << 20
 
 
-def coalesced(ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[int]]]:
+def coalesced(ranges: list[tuple[str, int, int]], gap: int = GAP) -> Iterator[tuple[str, int, int, list[int]]]:
     """Sorted ranges (file, offset, length) as few reads: file, start, end and the numbers of the ranges inside."""
     file, start, end, inside = "", 0, 0, []
     for i in sorted(range(len(ranges)), key=lambda i: ranges[i][:2]):
         f, o, n = ranges[i]
-        if inside and f == file and o - end <= GAP and o + n - start <= READ:
+        if inside and f == file and o - end <= gap and o + n - start <= READ:
             end = max(end, o + n)
             inside.append(i)
             continue
@@ -107,3 +147,18 @@ def coalesced(ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, in
         file, start, end, inside = f, o, o + n, [i]
     if inside:
         yield file, start, end, inside
+
+
+#: Bytes of one file that are read by one task in a row, and bytes that a task is given in all.
+SPAN, TASK = 32 << 20, 128 << 20
+
+
+def dealt_by_bytes(rows: DataFrame, file: str, offset: str, size: Column) -> DataFrame:
+    """Deals rows that name byte ranges so that tasks read about TASK bytes each, spans of a file in order.
+
+    A split of such rows stands for bytes many times its own size, so reading tasks follow the bytes.
+    """
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK))
+    span = F.floor(F.col(offset) / max(1, min(SPAN, total // parts)))
+    return rows.repartition(parts, file, span).sortWithinPartitions(file, offset)

@@ -5,9 +5,10 @@ passages give equal chunks wherever they stand.  A chunk is named by its digest;
 stored once in a pack file, in order of first appearance.  The manifest lists documents in ascending
 doc_id order with start, length, recipe (the chunks' digests) and the Merkle root over them.
 
-Reading back visits every stored chunk once, checks its bytes against its digest and takes its checksum;
-documents are then put together from their recipes, the root is checked, and the checksum of the whole id
-stream follows from the chunks' checksums and lengths without moving ids between machines.
+Reading back checks the manifest against its own Merkle root and number of documents, visits every stored chunk once, checks its
+bytes against its digest and takes its checksum; documents are then put together from their recipes, their roots are checked, and the
+checksum of the whole id stream follows from the chunks' checksums and lengths without moving ids between
+machines.  `documents` gives the ids themselves.  A chunk or a document that is missing, or differs, fails the job.
 
 Files: pack = ids of chunks one after another, little-endian, 2 bytes where the vocabulary allows, else 4;
 index = Parquet rows (digest, n, pack, offset); manifest = Parquet rows in doc_id order.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import coalesced, filesystem, new_folder, running_start, spread, staged
+from millrace.llm.common import coalesced, dealt_by_bytes, filesystem, new_folder, removed, running_start, scratch, spread, staged
 from millrace.llm.tokens import encoder, ids_with_end
 
 WINDOW = 8
@@ -40,6 +41,11 @@ LEAST, MEAN, MOST = 64, 512, 4096
 #: Digests that a task remembers at a time; a chunk written twice is still stored once in the end.
 REMEMBERED = 200_000
 ROLL = 256 << 20
+#: Bits of a token position in one group of the manifest's tree: a group holds at most 2^16 documents, or groups.
+FAN = 16
+#: Ids that are put together at a time when documents are read back, unless one document alone is longer.
+PIECE = 4 << 20
+RECIPE = "array<struct<seq:int,n:int,digest:binary>>"
 
 
 def cuts(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
@@ -130,6 +136,8 @@ def _staged_chunks(docs: DataFrame, tokenizer: str, end: int, folder: str) -> Da
                     rows = []
                     for key, ids in zip(keys[start : start + 500], ids_with_end(tokenizer, texts[start : start + 500], end), strict=True):
                         row += 1
+                        if row >> 24:  # the task's number is used up
+                            task, row = int.from_bytes(os.urandom(5), "little") >> 1, 0
                         last = 0
                         for seq, stop in enumerate(cuts(ids)):
                             data = ids[last:stop].tobytes()
@@ -206,33 +214,34 @@ def _packed(unique: DataFrame, folder: str, width: int) -> DataFrame:
 
     parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = unique.select("digest", "n", "file", "offset").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
-    return staged(ordered.mapInArrow(run, "digest binary, n int, pack string, offset long"), "store-index")
+    return staged(ordered.mapInArrow(run, "digest binary, n int, pack string, offset long"), "store-index", keep=True)
 
 
 @dataclass(frozen=True)
 class Store:
-    """Where a store lies: packs (named in the index), its index, its manifest, and the bytes of an id."""
+    """Where a store lies: packs (named in the index), its index, its manifest with root and number of documents, and the bytes of an id."""
 
     index: DataFrame
     manifest: DataFrame
     width: int
+    root: bytes
+    documents: int
 
 
 def write(docs: DataFrame, tokenizer: str, end: int = 1) -> Store:
     spark: SparkSession = docs.sparkSession
     width = encoder(tokenizer).type.itemsize
     waiting = new_folder(spark, "unsorted-ids")
-    chunks = _staged_chunks(docs, tokenizer, end, waiting)
-    once = chunks.where("file IS NOT NULL").groupBy("digest").agg(F.min(F.struct("file", "offset", "n")).alias("c"))
-    index = _packed(staged(once.select("digest", "c.file", "c.offset", "c.n"), "unique"), new_folder(spark, "store"), width)
-    fs, path = filesystem(waiting)
-    if fs.get_file_info(path).type.name == "Directory":  # its chunks are in the store now
-        fs.delete_dir(path)
-    recipes = chunks.groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "n", "digest"))).alias("recipe"))
-    started = running_start(recipes, [F.col("doc_id").asc_nulls_first(), F.col("row")], "n_tokens", "start")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = started.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
-    return Store(index, staged(_with_roots(ordered), "manifest"), width)
+    with scratch():
+        chunks = _staged_chunks(docs, tokenizer, end, waiting)
+        once = chunks.where("file IS NOT NULL").groupBy("digest").agg(F.min(F.struct("file", "offset", "n")).alias("c"))
+        index = _packed(staged(once.select("digest", "c.file", "c.offset", "c.n"), "unique"), new_folder(spark, "store"), width)
+        removed(waiting)  # its chunks are in the store now
+        recipes = chunks.groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "n", "digest"))).alias("recipe"))
+        # Rows come out of running_start dealt by range and in order within their range.
+        started = running_start(recipes, [F.col("doc_id").asc_nulls_first(), F.col("row")], "n_tokens", "start")
+        manifest = staged(_with_roots(started), "manifest", keep=True)
+    return Store(index, manifest, width, *manifest_root(manifest))
 
 
 def _with_roots(recipes: DataFrame) -> DataFrame:
@@ -242,22 +251,27 @@ def _with_roots(recipes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary())], names=[*batch.schema.names, "root"])
 
     rows = recipes.select("doc_id", "row", "start", "n_tokens", "recipe")
-    return rows.mapInArrow(run, "doc_id long, row long, start long, n_tokens long, recipe array<struct<seq:int,n:int,digest:binary>>, root binary")
+    return rows.mapInArrow(run, f"doc_id long, row long, start long, n_tokens long, recipe {RECIPE}, root binary")
 
 
-def manifest_root(manifest: DataFrame) -> bytes:
-    """Merkle root over the documents' roots in manifest order: one digest a partition reaches the driver."""
+def manifest_root(manifest: DataFrame) -> tuple[bytes, int]:
+    """Root over the documents' roots in manifest order, and their number; the same however rows are dealt.
+
+    Documents whose starts agree but for the last FAN bits make a group, whose Merkle root goes up a level
+    under the remaining bits; a group has at most 2^FAN members, as every document holds a token.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, roots = None, []
         for batch in batches:
-            roots += batch.column("root").to_pylist()
-            least = batch.column("start")[0].as_py() if least is None and batch.num_rows else least
-        if roots:
-            yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([merkle_root(roots)], pa.binary())], names=["start", "root"])
+            roots = [merkle_root([b"".join((m["start"].to_bytes(8, "big", signed=True), m["root"])) for m in g]) for g in batch.column("members").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("start"), batch.column("n"), pa.array(roots, pa.binary())], names=["start", "n", "root"])
 
-    parts = manifest.select("start", "root").repartitionByRange(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "start").sortWithinPartitions("start")
-    return merkle_root([bytes(r["root"]) for r in parts.mapInArrow(run, "start long, root binary").orderBy("start").collect()])
+    level = manifest.select("start", F.lit(1).cast("long").alias("n"), "root")
+    for _ in range(64 // FAN):
+        groups = level.groupBy(F.shiftright("start", FAN).alias("up")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("members"))
+        level = groups.select(F.col("up").alias("start"), "n", "members").mapInArrow(run, "start long, n long, root binary")
+    top = level.collect()
+    return (bytes(top[0]["root"]), top[0]["n"]) if top else (merkle_root([]), 0)
 
 
 def _verified(store: Store) -> DataFrame:
@@ -270,31 +284,95 @@ def _verified(store: Store) -> DataFrame:
             rows = []
             for inside, chunks in _ranges_read(batch, width, "pack"):
                 for i, data in zip(inside, chunks, strict=True):
-                    if digest_of(data) != digests[i]:
-                        raise ValueError(f"damaged chunk {digests[i].hex()}")
+                    _same_digest(data, digests[i])
                     rows.append((digests[i], len(data) // width, zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4"))))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary(), pa.int32(), pa.int64()], strict=True)], names=["digest", "n", "crc"])
 
-    return store.index.select("digest", "n", "pack", "offset").mapInArrow(run, "digest binary, n int, crc long")
+    dealt = dealt_by_bytes(store.index.select("digest", "n", "pack", "offset"), "pack", "offset", F.col("n") * width)
+    return dealt.mapInArrow(run, "digest binary, n int, crc long")
+
+
+def _same_digest(data: bytes, digest: bytes) -> None:
+    if digest_of(data) != digest:
+        raise ValueError(f"damaged chunk {digest.hex()}")
+
+
+def _checked_manifest(store: Store) -> DataFrame:
+    if manifest_root(store.manifest) != (store.root, store.documents):
+        raise ValueError("the manifest differs from its root: documents are missing, added or changed")
+    return store.manifest
+
+
+def _check_recipe(root: bytes, chunks: list[dict], found: str) -> None:
+    for c in chunks:
+        if c[found] is None:
+            raise ValueError(f"missing chunk {c['digest'].hex()}")
+    if merkle_root([c["digest"] for c in chunks]) != root:
+        raise ValueError("a document's chunks do not match its root")
+
+
+def _with_chunks(manifest: DataFrame, chunks: DataFrame, *found: str) -> DataFrame:
+    """doc_id, start, n_tokens, root and the chunks of each document in order, with the columns found for them or nulls."""
+    document = ["doc_id", "row", "start", "n_tokens", "root"]
+    parts = manifest.select(*document, F.explode("recipe").alias("c")).select(*document, "c.seq", "c.digest")
+    joined = parts.join(chunks, "digest", "left")
+    return joined.groupBy(*document).agg(F.array_sort(F.collect_list(F.struct("seq", *found, "digest"))).alias("chunks")).drop("row")
 
 
 def read(store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the manifest and the packs."""
-    parts = store.manifest.select("doc_id", "row", "start", "root", F.explode("recipe").alias("c")).select("doc_id", "row", "start", "root", "c.seq", "c.digest")
-    joined = parts.join(_verified(store), "digest").groupBy("doc_id", "row", "start", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "digest"))).alias("chunks"))
+    joined = _with_chunks(_checked_manifest(store), _verified(store), "n", "crc")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sums = [], []
-            for root, chunks in zip(batch.column("root").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
-                if merkle_root([c["digest"] for c in chunks]) != root:
-                    raise ValueError("a document's chunks do not match its root")
-                crc = 0
+            for root, n_tokens, chunks in zip(*(batch.column(c).to_pylist() for c in ("root", "n_tokens", "chunks")), strict=True):
+                _check_recipe(root, chunks, "crc")
+                crc, size = 0, 0
                 for c in chunks:
                     crc = crc_joined(crc, c["crc"], 4 * c["n"])
-                sizes.append(sum(c["n"] for c in chunks))
+                    size += c["n"]
+                if size != n_tokens:
+                    raise ValueError("a document's chunks hold another number of ids than its manifest says")
+                sizes.append(size)
                 sums.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return joined.select("doc_id", "start", "root", "chunks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def documents(store: Store, wanted: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, ids of every document, or of those whose doc_id is in `wanted`: read from the packs by ranges, checked by digest and root."""
+    manifest = _checked_manifest(store)
+    if wanted is not None:
+        manifest = manifest.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    joined = _with_chunks(manifest, store.index.select("digest", "n", "pack", "offset"), "n", "pack", "offset")
+    width = store.width
+
+    def put_together(rows: list[tuple]) -> pa.RecordBatch:
+        every = pa.RecordBatch.from_pylist([c for *_, chunks in rows for c in chunks])
+        held: list[bytes] = [b""] * every.num_rows
+        for inside, pieces in _ranges_read(every, width, "pack"):
+            for i, data in zip(inside, pieces, strict=True):
+                _same_digest(data, every.column("digest")[i].as_py())
+                held[i] = data
+        sizes = [len(chunks) for *_, chunks in rows]
+        ends = np.cumsum(sizes).tolist()
+        ids = [np.frombuffer(b"".join(held[e - n : e]), f"<u{width}").astype(np.int32) for e, n in zip(ends, sizes, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for doc_id, start, n_tokens, root, chunks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root", "chunks")), strict=True):
+                _check_recipe(root, chunks, "pack")
+                if rows and size + n_tokens > PIECE:
+                    yield put_together(rows)
+                    rows, size = [], 0
+                rows.append((doc_id, start, chunks))
+                size += n_tokens
+            if rows:
+                yield put_together(rows)
+
+    return joined.mapInArrow(run, "doc_id long, start long, ids array<int>")

@@ -1,6 +1,7 @@
 """Operators that write files and read them back: media, token store, WARC, packing."""
 
 import base64
+import dataclasses
 import hashlib
 import io
 import tarfile
@@ -11,9 +12,10 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import media, packing, tokenstore, warc
+from millrace.llm import common, media, packing, tokenstore, warc
 from millrace.llm.common import coalesced, filesystem
 from millrace.llm.queries import word_tokenizer
 from millrace.llm.tokens import Encoder
@@ -147,7 +149,11 @@ def test_store_round_trip(messy):
     assert len({bytes(r.digest) for r in index}) == len(index)
     distinct = {i[a:b].tobytes() for _, ids in docs for i in [np.array(ids, "<u2")] for a, b in zip([0, *tokenstore.cuts(i)], tokenstore.cuts(i), strict=False)}
     assert len(index) == len(distinct) and sum(r.n for r in index) == sum(len(d) // 2 for d in distinct)
-    assert tokenstore.manifest_root(store.manifest) == tokenstore.manifest_root(store.manifest)
+    assert tokenstore.manifest_root(store.manifest.repartition(3)) == (store.root, store.documents) and store.documents == len(docs)
+    back = tokenstore.documents(store).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in back) == Counter((k, tuple(i)) for k, i in docs)
+    some = tokenstore.documents(store, messy.where("doc_id = 2").select("doc_id")).collect()
+    assert Counter(tuple(r.ids) for r in some) == Counter(tuple(i) for k, i in docs if k == 2)
 
 
 def test_damage_is_found(messy):
@@ -163,6 +169,25 @@ def test_damage_is_found(messy):
         tokenstore.read(store).collect()
 
 
+def test_missing_parts_are_found(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(3)], "doc_id long, text string")
+    store = tokenstore.write(docs, word_tokenizer())
+    gone = store.index.first().digest
+    less = dataclasses.replace(store, index=store.index.where(F.col("digest") != F.lit(gone)))
+    for read in (tokenstore.read, tokenstore.documents):
+        with pytest.raises(Exception, match="missing chunk"):
+            read(less).collect()
+        with pytest.raises(ValueError, match="manifest differs"):
+            read(dataclasses.replace(store, manifest=store.manifest.where("doc_id <> 1")))
+
+
+def test_work_tables_are_removed(messy, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}")
+    store = tokenstore.write(messy, word_tokenizer())
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["manifest", "store", "store-index"]
+    assert tokenstore.read(store).count() == messy.count()
+
+
 def test_store_of_nothing(nothing):
     assert tokenstore.read(tokenstore.write(nothing, word_tokenizer())).count() == 0
 
