@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import coalesced, filesystem, new_folder, spread, staged
+from millrace.llm.common import coalesced, dealt_by_bytes, filesystem, new_folder, scratch, sized, spread, staged
 
 #: Bytes after which a task begins another archive file.
 ROLL = 512 << 20
@@ -69,10 +69,18 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
 
 def written(pages: DataFrame) -> DataFrame:
     """Writes the archives into the shared folder and returns their index."""
+    with scratch():
+        return _written(pages)
+
+
+def _written(pages: DataFrame) -> DataFrame:
     folder = new_folder(pages.sparkSession, "warc")
-    rows = spread(pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))).withColumn("sha", F.sha1("payload"))
-    first = rows.groupBy("sha").agg(F.max("page_id").alias("holder"))
-    marked = rows.join(first, "sha").select("page_id", "url", "payload", "holder", (~F.col("page_id").eqNullSafe(F.col("holder"))).alias("revisit"))
+    rows = spread(pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))).withColumn("sha", F.unhex(F.sha1("payload")))
+    # Only payloads that repeat need a holder: one narrow row a page is shuffled to find them, and payloads stay where they are read
+    # while the holders are few enough for every task; beyond, payloads are joined by digest, where adaptive execution splits a hot one.
+    holders = staged(rows.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("holder")).where("n > 1").withColumn("several", F.lit(True)).drop("n"), "holders")
+    alone = F.col("several").isNull()
+    marked = rows.join(sized(holders), "sha", "left").select("page_id", "url", "payload", F.when(alone, F.col("page_id")).otherwise(F.col("holder")).alias("holder"), (~alone & ~F.col("page_id").eqNullSafe(F.col("holder"))).alias("revisit"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
@@ -97,7 +105,7 @@ def written(pages: DataFrame) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return staged(marked.mapInArrow(run, INDEX), "warc-index")
+    return staged(marked.mapInArrow(run, INDEX), "warc-index", keep=True)
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -113,7 +121,7 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
     A response's length and digest are computed from its stored payload; a revisit's come from its headers,
     which describe the full payload it stands for.  A record that differs from its index row fails the task.
     """
-    ordered = index.select("page_id", "url", "digest", "file", "offset", "length").sortWithinPartitions("file", "offset")
+    ordered = dealt_by_bytes(index.select("page_id", "url", "digest", "file", "offset", "length"), "file", "offset", F.col("length"))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
