@@ -150,7 +150,7 @@ def coalesced(ranges: list[tuple[str, int, int]], gap: int = GAP) -> Iterator[tu
 
 
 #: Bytes of one file that are read by one task in a row, and bytes that a task is given in all.
-SPAN, TASK = 32 << 20, 128 << 20
+SPAN, TASK = 8 << 20, 32 << 20
 
 
 def dealt_by_bytes(rows: DataFrame, file: str, offset: str, size: Column) -> DataFrame:

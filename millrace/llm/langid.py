@@ -5,10 +5,10 @@ n-grams, predicts that bit; loss-weighted decoding then picks the codeword with
 the gap to the runner-up flags ambiguous texts.
 
 Training reads a bounded sample of labelled rows: about SAMPLE_PER_LANGUAGE a language and SAMPLE_TOTAL in
-all, chosen by a hash of doc_id over the whole table.  Prediction reads every whole text.
+all, never more than twice that, chosen by a hash of doc_id and text over the whole table.  Prediction reads every whole text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and no ambiguity; without any
-labelled row every text is `und`; a null doc_id is never held out and never trained on; repeated rows give
+labelled row every text is `und`, and `keep_identified` fails rather than drop texts that have letters; a null doc_id is never held out and never trained on; repeated rows give
 repeated rows; ties between codewords go to the first language by code point; extra columns are ignored.
 """
 
@@ -123,8 +123,9 @@ def held_out() -> Column:
 
 def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(lang, c) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (c := counts(text)) is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([zlib.compress(features(r[1]).tobytes(), 1) for r in rows], pa.binary())], names=["lang", "x"])
+        rows = [(lang, c, h) for lang, text, h in zip(*(batch.column(k).to_pylist() for k in ("lang", "text", "h")), strict=True) if (c := counts(text)) is not None]
+        columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([zlib.compress(features(r[1]).tobytes(), 1) for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "x", "h"])
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -135,8 +136,9 @@ def fit(docs: DataFrame) -> Model | None:
         return None
     each = min(SAMPLE_PER_LANGUAGE, max(4, SAMPLE_TOTAL // len(sizes)))
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 1.2 * each / n))])
-    drawn = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(6)), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
-    rows = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
+    hashed = usable.withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(6)), F.lit(1 << 30)))
+    drawn = hashed.where(F.col("h") < share[F.col("lang")] * float(1 << 30)).select("lang", "text", "h")
+    rows = drawn.mapInArrow(_sampled, "lang string, x binary, h long").orderBy("h", "lang", "x").limit(2 * SAMPLE_TOTAL).collect()
     if not rows:
         return None
     rows = sorted((r["lang"], bytes(r["x"])) for r in rows)
@@ -173,11 +175,17 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents, all columns as they were, whose language is known and not ambiguous.  No shuffle."""
+    """The documents, all columns as they were, whose language is known and not ambiguous.  No shuffle.
+
+    Without a model, documents without a letter go as ever; the first one with a letter fails the job.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = decide(model, batch.column(batch.schema.names.index("text")).to_pylist())
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            if model is None and any(counts(t) is not None for t in texts):
+                raise ValueError("no labelled document to learn languages from: nothing could be kept")
+            got = decide(model, texts)
             yield batch.filter(pa.array([lang != UNKNOWN and not unsure for lang, _, unsure in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@
 A payload (UTF-8 text padded with bytes 0 to a positive multiple of 64) is stored without loss as an 8-bit
 greyscale PNG, 64 samples a row, in a plain tar file; the member's name is the SHA-256 of the payload, and a
 payload met again in a shard is not written again.  Rows carry digest, shard, offset and length.  Metadata
-columns (width, height, depth, format) come from range reads of the first bytes of a member only; the full
+columns (width, height, depth, format) come from range reads of the first bytes of a member only, headers close by in one read; the full
 read decodes the samples, checks the digest and computes the feature.
 
 Defined cases: null text is an empty payload of 64 zero bytes; payloads of any length are stored whole;
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import filesystem, new_folder, spread, staged
+from millrace.llm.common import GAP, coalesced, dealt_by_bytes, filesystem, new_folder, spread, staged
 
 ROW = 64
 #: Bytes after which a task begins another shard.
@@ -34,6 +34,10 @@ ROLL = 256 << 20
 REMEMBERED = 200_000
 #: Bytes of a member that hold the PNG signature and its header chunk.
 HEADER = 33
+#: Headers closer than this are read at once: about what a request costs, and no more than small members between them.
+HEADER_GAP = 4096
+#: Members that a task holds computed values of.
+MEMO = 4096
 LEDGER = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
 
@@ -133,26 +137,42 @@ def stored(docs: DataFrame) -> DataFrame:
     return staged(spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, LEDGER), "media-ledger")
 
 
-def _ranges(ledger: DataFrame, fields: list[pa.Field], first: int | None, work: Callable[[bytes, str], tuple]) -> DataFrame:
-    """Adds columns computed from each row's member, or from its first bytes; rows are read in shard order."""
+def in_shard_order(ledger: DataFrame) -> DataFrame:
+    """The ledger dealt by the bytes behind its rows, each task's rows in shard order."""
+    return dealt_by_bytes(ledger, "shard", "offset", F.col("length"))
+
+
+def _ranges(ledger: DataFrame, fields: list[pa.Field], first: int | None, gap: int, work: Callable[[bytes, str], tuple]) -> DataFrame:
+    """Adds columns computed from each row's member, or from its first bytes; neighbouring ranges of a batch are read at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, handle, memo = None, None, {}
         for batch in batches:
-            rows = []
-            for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length", "digest")), strict=True))
+            rows: list[tuple] = [()] * len(keys)
+            new: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                if key in memo:
+                    rows[i] = memo[key]
+                else:
+                    new.setdefault(key, []).append(i)
+            if len(memo) >= MEMO:
+                memo.clear()
+            wanted = list(new)
+            for shard, start, end, inside in coalesced([(s, o, min(n, first or n)) for s, o, n, _ in wanted], gap):
                 if shard != name:
                     if handle is not None:
                         handle.close()
                     fs, path = filesystem(shard)
                     name, handle = shard, fs.open_input_file(path)
-                    memo.clear()
-                if offset not in memo:
-                    if len(memo) >= 4096:
-                        memo.clear()
-                    handle.seek(offset)
-                    memo[offset] = work(handle.read(min(length, first or length)), digest)
-                rows.append(memo[offset])
+                handle.seek(start)
+                data = handle.read(end - start)
+                for k in inside:
+                    _, offset, length, digest = wanted[k]
+                    found = work(data[offset - start : offset - start + min(length, first or length)], digest)
+                    memo[wanted[k]] = found
+                    for i in new[wanted[k]]:
+                        rows[i] = found
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))], names=[*batch.schema.names, *(f.name for f in fields)])
         if handle is not None:
@@ -165,7 +185,7 @@ def _ranges(ledger: DataFrame, fields: list[pa.Field], first: int | None, work:
 def with_headers(ledger: DataFrame) -> DataFrame:
     """The ledger with width, height, depth and format, from range reads of HEADER bytes a member."""
     fields = [pa.field("width", pa.int64()), pa.field("height", pa.int64()), pa.field("depth", pa.int64()), pa.field("format", pa.string())]
-    return _ranges(ledger, fields, HEADER, lambda data, _: header(data))
+    return _ranges(ledger, fields, HEADER, HEADER_GAP, lambda data, _: header(data))
 
 
 def _computed(data: bytes, digest: str) -> tuple:
@@ -181,4 +201,4 @@ def with_features(ledger: DataFrame) -> DataFrame:
     """The ledger with everything computed from the stored bytes read back."""
     text = ("payload_sha256", "media_sha256", "feature")
     names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return _ranges(ledger, [pa.field(n, pa.string() if n in text else pa.int64()) for n in names], None, _computed)
+    return _ranges(ledger, [pa.field(n, pa.string() if n in text else pa.int64()) for n in names], None, GAP, _computed)

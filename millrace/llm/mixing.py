@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import WORD_PATTERN, running_start, sized, spread, staged
+from millrace.llm.common import WORD_PATTERN, running_start, scratch, sized, spread, staged
 
 CELLS = 512
 #: Fixed by contract: weights by rank of the source, repeating, and the most copies of a document.
@@ -55,32 +55,50 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     return ranked.withColumn("target", F.least(F.lit(float(cap)) * F.col("words"), F.lit(float(level)) * F.col("weight")))
 
 
-def mixed(docs: DataFrame, weight_col: str | None = None, seed: int = 3, cap: int = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, copies."""
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52))
-    base = staged(
-        spread(docs.select("doc_id", "source", "text", *([F.col(weight_col).cast("double").alias("w")] if weight_col else [])))
-        .select(F.col("doc_id").cast("long"), "source", words_of().alias("size"), ((unit + 0.5) / float(1 << 52)).alias("u"), (F.greatest(F.coalesce(F.col("w"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)).alias("w")),
-        "sized",
-    )
-    sources = targets(base.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.col("w") * F.col("size")).alias("weighted")), weights, cap)
-    known = staged(sources.select(_key("source").alias("key"), F.col("words").alias("source_size"), "target", "weighted"), "targets")
+def _ranked(rows: DataFrame, known: DataFrame, cap: int) -> DataFrame:
+    """Rows (source, size, u, w, ..) with key, source_size, target, the whole copies allotted and the place v in the ranking for one more."""
     expected = F.when((F.col("source_size") > 0) & (F.col("weighted") > 0), F.least(F.lit(float(cap)), F.col("target") * F.col("w") / F.col("weighted"))).otherwise(0.0)
-    ranked = (
-        base.withColumn("key", _key("source"))
+    return (
+        rows.withColumn("key", _key("source"))
         .join(sized(known), "key")
         .withColumn("e", expected)
         .withColumn("whole", F.floor("e"))
         .withColumn("p", F.col("e") - F.col("whole"))
         .withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
         .withColumn("v", F.col("q") / (1 + F.col("q")))
-        .select("key", "doc_id", "size", "source_size", "target", "whole", "v")
+        .drop("w", "u", "e", "p", "q", "weighted", "source")
     )
-    due = ranked.groupBy("key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("due"))
-    cut = sized(staged(_cuts(ranked, staged(due, "due")), "cuts"))
+
+
+def _with_copies(ranked: DataFrame, cut: DataFrame) -> DataFrame:
+    """The copies of each row, from its own columns and its source's cut."""
     more = F.col("v").isNotNull() & F.col("cut_v").isNotNull() & ((F.col("v") < F.col("cut_v")) | (F.col("v") == F.col("cut_v")) & (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) <= F.col("cut_id")))
-    copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long")
-    return ranked.join(cut, "key", "left").withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return ranked.join(sized(cut), "key", "left").withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long"))
+
+
+def _drawn(docs: DataFrame, weight_col: str | None, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size, the random number u of the doc_id, the weight w, and more columns."""
+    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52))
+    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+    return docs.select(F.col("doc_id").cast("long"), "source", words_of().alias("size"), ((unit + 0.5) / float(1 << 52)).alias("u"), weight.alias("w"), *more)
+
+
+def _planned(docs: DataFrame, weight_col: str | None, seed: int, cap: int, weights: tuple[float, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of the documents' sizes, the sources' targets and the sources' cuts."""
+    with scratch():
+        needed = spread(docs.select("doc_id", "source", "text", *([weight_col] if weight_col else [])))
+        base = staged(_drawn(needed, weight_col, seed), "sized", keep=True)
+        sources = targets(base.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.col("w") * F.col("size")).alias("weighted")), weights, cap)
+        known = staged(sources.select(_key("source").alias("key"), F.col("words").alias("source_size"), "target", "weighted"), "targets", keep=True)
+        ranked = _ranked(base, known, cap)
+        due = ranked.groupBy("key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("due"))
+        return base, known, staged(_cuts(ranked, staged(due, "due")), "cuts", keep=True)
+
+
+def mixed(docs: DataFrame, weight_col: str | None = None, seed: int = 3, cap: int = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, taken, copies."""
+    base, known, cut = _planned(docs, weight_col, seed, cap, weights)
+    return _with_copies(_ranked(base, known, cap), cut).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def _cuts(ranked: DataFrame, due: DataFrame) -> DataFrame:
@@ -111,8 +129,10 @@ def _cuts(ranked: DataFrame, due: DataFrame) -> DataFrame:
 
 
 def copied(docs: DataFrame, seed: int = 3) -> DataFrame:
-    """The mix itself: every document as often as it is taken, all columns as they were."""
-    plan = mixed(docs, seed=seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("time")
-    return rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id"))).select("row", times).select("row.*")
+    """The mix itself: every document as often as it is taken, all columns as they were.
+
+    A row's copies follow from its own columns and its source's cut, so whole rows are not shuffled.
+    """
+    _, known, cut = _planned(docs, None, seed, CAP, WEIGHTS)
+    rows = _with_copies(_ranked(_drawn(docs, None, seed, F.struct("*").alias("_row")), known, CAP), cut).where("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

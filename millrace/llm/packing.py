@@ -1,7 +1,8 @@
 """Packing token pieces into sequences of fixed length by first-fit decreasing in randomised groups.
 
 A document's ids are cut at multiples of the sequence length; each piece keeps only its place, length and
-checksum, so no ids are shuffled.  Pieces are dealt by a seeded hash into groups of about GROUP pieces, and
+checksum, so no ids are shuffled.  Pieces are dealt by a seeded hash of their place in the written table of pieces into
+groups of about GROUP pieces, so equal pieces spread like any others, and
 each group is packed by itself: pieces by falling length, each into the first bin with room, found through a
 tournament tree over the bins' free space in O(log n).
 
@@ -17,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +63,11 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 1) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and the task that made it with the piece's number there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "number"]
+        task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
@@ -72,10 +75,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 1)
                 rows = []
                 for key, ids in zip(keys[at : at + 500], ids_with_end(tokenizer, texts[at : at + 500], end), strict=True):
                     wide = ids.astype("<u4")
-                    rows += [(key, s, min(length, len(ids) - s), zlib.crc32(wide[s : s + length]), len(ids)) for s in range(0, len(ids), length)]
+                    rows += [(key, s, min(length, len(ids) - s), zlib.crc32(wide[s : s + length]), len(ids), task, number + s // length) for s in range(0, len(ids), length)]
+                    number += -(-len(ids) // length)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long")
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP, seed: int = 2) -> DataFrame:
@@ -88,7 +92,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = G
         rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start"))
         bins, offsets = first_fit_decreasing(rows["length"].to_pylist(), length)
         first = rows["g"][0].as_py() << 32
-        return rows.drop_columns("g").append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        return rows.drop_columns(["task", "number", "g"]).append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("task", "number", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

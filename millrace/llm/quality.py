@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, spread
+from millrace.llm.common import WORD, spread, staged
 
 #: Fixed by contract: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -142,8 +142,8 @@ def passes(bits: Column, policy: str = CURRENT) -> Column:
 
 
 def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with the base verdict and that of a policy, which always includes the base rules."""
-    return ledger(docs).select("*", (F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), (passes(F.col("fail_bits"), policy) & passes(F.col("fail_bits"), "base")).alias("kept"))
+    """The stored ledger with the base verdict and that of a policy, which always includes the base rules."""
+    return staged(ledger(docs), "ledger", keep=True).select("*", (F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), (passes(F.col("fail_bits"), policy) & passes(F.col("fail_bits"), "base")).alias("kept"))
 
 
 def ablation(ledger_rows: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -163,21 +163,19 @@ def ablation(ledger_rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
-def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents, all columns as they were, that a policy keeps.  No shuffle: each batch is judged and filtered."""
-    mask = POLICIES[policy] | BASE
-    checks = _compiled(mask)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index("text")).to_pylist()
-            measured = map(measure, texts)
-            yield batch.filter(pa.array([not any(fails(*m) for fails in checks) for m in measured], pa.bool_()))
+def recorded(docs: DataFrame) -> DataFrame:
+    """The documents (`row`, all columns as they were) beside their ledger columns: measurements and fail_bits."""
 
-    return docs.mapInArrow(run, docs.schema)
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            columns = list(zip(*map(measure, texts.to_pylist()), strict=True)) or [()] * len(MEASURES)
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
 
+    made = F.arrow_udf(measured, ", ".join(f"{m} long" for m in MEASURES))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("m", made(F.col("row")["text"]))
+    return rows.select("row", "m.*").withColumn("fail_bits", fail_bits())
 
-def _compiled(mask: int) -> list:
-    """The rules of a mask as Python conditions over the measurements; the rule texts are the same arithmetic in both."""
-    return [eval(f"lambda {', '.join(MEASURES)}: {condition.replace(' AND ', ' and ').replace(' OR ', ' or ')}") for name, condition in RULES if mask & BIT[name]]  # noqa: S307
 
+def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The documents, all columns as they were, that a policy keeps: the ledger is written beside them, and the policy's mask filters its bits."""
+    return staged(recorded(docs), "ledger", keep=True).where(passes(F.col("fail_bits"), policy) & passes(F.col("fail_bits"), "base")).select("row.*")

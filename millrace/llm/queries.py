@@ -23,7 +23,7 @@ def word_tokenizer() -> str:
 
 
 def op1_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media.with_features(media.with_headers(media.stored(table(spark, sf_dir, "documents"))))
+    rows = media.with_features(media.with_headers(media.in_shard_order(media.stored(table(spark, sf_dir, "documents")))))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "format")
 
 

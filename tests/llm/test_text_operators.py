@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -59,6 +61,8 @@ def test_ledger_policies_and_ablation(messy, nothing):
     kept = quality.keep_passing(messy)
     assert kept.columns == messy.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.judged(messy).where("kept").collect())
+    bits = Counter(r.fail_bits for r in rows)
+    assert Counter(r.fail_bits for r in quality.recorded(messy).collect()) == bits
     assert quality.ledger(nothing).count() == 0 and quality.keep_passing(nothing).count() == 0
 
 
@@ -88,6 +92,39 @@ def test_held_out_accuracy_and_unknowns(spark):
     assert kept.columns == docs.columns and not {1000, 1001, 1002} & {r.doc_id for r in kept.collect()} and kept.count() >= len(rows) - 4
 
 
+def test_texts_are_not_lost_for_want_of_a_model(spark, nothing):
+    docs = spark.createDataFrame([(1, "12 !", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(docs, None).count() == 0 and langid.keep_identified(nothing, None).count() == 0
+    with pytest.raises(Exception, match="no labelled document"):
+        langid.keep_identified(docs.unionAll(spark.createDataFrame([(3, "abc", None)], docs.schema)), None).collect()
+
+
+def test_sample_is_bounded_though_one_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 20)
+    docs = spark.range(300).select(F.lit(7).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"))
+    seen = []
+    monkeypatch.setattr(langid, "trained", lambda languages, labels, x: seen.append(len(x)))
+    langid.fit(docs)
+    assert 0 < seen[0] <= 40
+
+
+def test_decoding_against_a_plain_loop():
+    """Loss-weighted decoding, with texts between two languages flagged."""
+    r = np.random.default_rng(4)
+    code = langid.codewords(4)
+    model = langid.Model(list("abcd"), code, r.normal(size=(9, code.shape[1])).astype(np.float32), r.random(code.shape[1]))
+    x = r.normal(size=(60, 9)).astype(np.float32)
+    best, score, unsure = model.decode(x)
+    for i in range(60):
+        margins = [min(3, max(-3, float(x[i] @ model.weights[:, k]))) for k in range(code.shape[1])]
+        losses = [sum(model.bit_weight[k] * math.log1p(math.exp(-4 * code[w][k] * margins[k])) for k in range(code.shape[1])) for w in range(4)]
+        low = sorted(losses)
+        assert losses[best[i]] == pytest.approx(low[0]) and score[i] == pytest.approx(1 / sum(math.exp(-2 * (v - low[0])) for v in losses), rel=1e-4)
+        assert unsure[i] == (low[1] - low[0] < langid.AMBIGUOUS * max(low[1], 1e-9)) or abs(low[1] - low[0] - langid.AMBIGUOUS * low[1]) < 1e-5
+    even = langid.Model(["a", "b"], np.array([[1.0], [-1.0]]), np.zeros((9, 1), np.float32), np.ones(1))
+    assert even.decode(x)[2].all() and not even.decode(x)[0].any()
+
+
 def test_without_labels_everything_is_unknown(spark, nothing):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.fit(docs) is None and langid.fit(nothing) is None
@@ -401,6 +438,27 @@ def test_blocks_hubs_and_text_join_lose_nothing(spark, monkeypatch, block, hubs,
     assert Counter(map(tuple, ngramjoin.joined(frame, bits=10).collect())) == brute(docs)
 
 
+def test_texts_without_ids_are_found_beyond_the_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "FILTERED", 0)
+    docs = [(None if i % 2 else i, t) for i, t in enumerate(family(21, 30, 60, 4))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(map(tuple, ngramjoin.joined(frame).collect())) == brute(docs)
+
+
+@given(st.lists(st.integers(0, 6), max_size=60), st.integers(1, 9))
+def test_lists_come_whole(keys, size):
+    keys.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size], pa.int64()), pa.array(range(i, min(i + size, len(keys))), pa.int64())], names=["k", "v"]) for i in range(0, len(keys), size)]
+    before, ngramjoin.HELD = ngramjoin.HELD, 7
+    try:
+        got = list(ngramjoin._lists(batches, 1))
+    finally:
+        ngramjoin.HELD = before
+    assert [v for _, vs in got for v in vs.tolist()] == list(range(len(keys)))
+    runs = [set(k.tolist()) for k, _ in got]
+    assert sum(map(len, runs)) == len(set(keys))
+
+
 def test_join_of_nothing(spark, nothing):
     assert ngramjoin.joined(nothing).count() == 0 and ngramjoin.deduplicated(nothing).count() == 0
 
@@ -471,3 +529,15 @@ def test_pipeline_equals_its_stages_and_brute_force(spark):
     last = corpus_pipeline.run(spark, SMALL).collect()
     assert sum(r.length for r in last if r.start == 0) > 0
     assert Counter(r.doc_id for r in last if r.start == 0) == Counter(r.doc_id for r in four.collect())
+
+
+def test_pipeline_on_awkward_tables(spark, messy, nothing, tmp_path):
+    """Null and repeated doc_ids and clashing columns go through every stage; an empty table gives nothing."""
+    extra = messy.drop("lang").crossJoin(spark.range(1).select(F.lit("en").alias("lang")))
+    labelled = spark.createDataFrame([(7000 + i, sample(["aa", "bb"][i % 2], 90, i), ["en", "fr"][i % 2], "s1") for i in range(60)], "doc_id long, text string, lang string, source string")
+    for name, docs in (("some", extra.unionByName(labelled, allowMissingColumns=True)), ("none", nothing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    ids = {r.doc_id for r in got if r.start == 0}
+    assert ids & set(range(7000, 7060)) and ids & {r.doc_id for r in messy.collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
