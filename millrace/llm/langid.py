@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import spread
+from millrace.llm.common import lean, spread
 
 DIM = 4096
 SAMPLE_PER_LANGUAGE = 300
@@ -138,7 +138,7 @@ def fit(docs: DataFrame) -> Model | None:
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 1.2 * each / n))])
     hashed = usable.withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(6)), F.lit(1 << 30)))
     drawn = hashed.where(F.col("h") < share[F.col("lang")] * float(1 << 30)).select("lang", "text", "h")
-    rows = drawn.mapInArrow(_sampled, "lang string, x binary, h long").orderBy("h", "lang", "x").limit(2 * SAMPLE_TOTAL).collect()
+    rows = drawn.mapInArrow(lean(_sampled), "lang string, x binary, h long").orderBy("h", "lang", "x").limit(2 * SAMPLE_TOTAL).collect()
     if not rows:
         return None
     rows = sorted((r["lang"], bytes(r["x"])) for r in rows)
@@ -171,7 +171,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
             )
 
-    return spread(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return spread(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")).mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -188,4 +188,4 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
             got = decide(model, texts)
             yield batch.filter(pa.array([lang != UNKNOWN and not unsure for lang, _, unsure in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import GAP, coalesced, dealt_by_bytes, filesystem, new_folder, spread, staged
+from millrace.llm.common import GAP, coalesced, dealt_by_bytes, filesystem, lean, new_folder, spread, staged
 
 ROW = 64
 #: Bytes after which a task begins another shard.
@@ -134,7 +134,7 @@ def stored(docs: DataFrame) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return staged(spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, LEDGER), "media-ledger")
+    return staged(spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lean(run), LEDGER), "media-ledger")
 
 
 def in_shard_order(ledger: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _ranges(ledger: DataFrame, fields: list[pa.Field], first: int | None, gap: i
             handle.close()
 
     added = [T.StructField(f.name, T.StringType() if f.type == pa.string() else T.LongType()) for f in fields]
-    return ledger.mapInArrow(run, T.StructType([*ledger.schema.fields, *added]))
+    return ledger.mapInArrow(lean(run), T.StructType([*ledger.schema.fields, *added]))
 
 
 def with_headers(ledger: DataFrame) -> DataFrame:

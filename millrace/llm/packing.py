@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import spread, staged
+from millrace.llm.common import lean, spread, staged
 from millrace.llm.tokens import ids_with_end
 
 LENGTH = 2048
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 1)
                     number += -(-len(ids) // length)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long")
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP, seed: int = 2) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, spread, staged
+from millrace.llm.common import WORD, lean, spread, staged
 
 #: Fixed by contract: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -134,7 +134,7 @@ def fail_bits() -> Column:
 def ledger(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, every measurement, fail_bits."""
     schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(_measured, schema).withColumn("fail_bits", fail_bits())
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lean(_measured), schema).withColumn("fail_bits", fail_bits())
 
 
 def passes(bits: Column, policy: str = CURRENT) -> Column:
@@ -171,7 +171,7 @@ def recorded(docs: DataFrame) -> DataFrame:
             columns = list(zip(*map(measure, texts.to_pylist()), strict=True)) or [()] * len(MEASURES)
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
 
-    made = F.arrow_udf(measured, ", ".join(f"{m} long" for m in MEASURES))
+    made = F.arrow_udf(lean(measured), ", ".join(f"{m} long" for m in MEASURES))
     rows = docs.select(F.struct("*").alias("row")).withColumn("m", made(F.col("row")["text"]))
     return rows.select("row", "m.*").withColumn("fail_bits", fail_bits())
 

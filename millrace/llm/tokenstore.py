@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import coalesced, dealt_by_bytes, filesystem, new_folder, removed, running_start, scratch, spread, staged
+from millrace.llm.common import coalesced, dealt_by_bytes, filesystem, lean, new_folder, removed, running_start, scratch, spread, staged
 from millrace.llm.tokens import encoder, ids_with_end
 
 WINDOW = 8
@@ -164,7 +164,7 @@ def _staged_chunks(docs: DataFrame, tokenizer: str, end: int, folder: str) -> Da
                 out.close()
 
     schema = "doc_id long, row long, seq int, n int, digest binary, file string, offset long"
-    return staged(spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema), "chunks")
+    return staged(spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lean(run), schema), "chunks")
 
 
 def _ranges_read(rows: pa.RecordBatch, width: int, file_column: str) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -214,7 +214,7 @@ def _packed(unique: DataFrame, folder: str, width: int) -> DataFrame:
 
     parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = unique.select("digest", "n", "file", "offset").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
-    return staged(ordered.mapInArrow(run, "digest binary, n int, pack string, offset long"), "store-index", keep=True)
+    return staged(ordered.mapInArrow(lean(run), "digest binary, n int, pack string, offset long"), "store-index", keep=True)
 
 
 @dataclass(frozen=True)
@@ -251,7 +251,7 @@ def _with_roots(recipes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary())], names=[*batch.schema.names, "root"])
 
     rows = recipes.select("doc_id", "row", "start", "n_tokens", "recipe")
-    return rows.mapInArrow(run, f"doc_id long, row long, start long, n_tokens long, recipe {RECIPE}, root binary")
+    return rows.mapInArrow(lean(run), f"doc_id long, row long, start long, n_tokens long, recipe {RECIPE}, root binary")
 
 
 def manifest_root(manifest: DataFrame) -> tuple[bytes, int]:
@@ -269,7 +269,7 @@ def manifest_root(manifest: DataFrame) -> tuple[bytes, int]:
     level = manifest.select("start", F.lit(1).cast("long").alias("n"), "root")
     for _ in range(64 // FAN):
         groups = level.groupBy(F.shiftright("start", FAN).alias("up")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("members"))
-        level = groups.select(F.col("up").alias("start"), "n", "members").mapInArrow(run, "start long, n long, root binary")
+        level = groups.select(F.col("up").alias("start"), "n", "members").mapInArrow(lean(run), "start long, n long, root binary")
     top = level.collect()
     return (bytes(top[0]["root"]), top[0]["n"]) if top else (merkle_root([]), 0)
 
@@ -290,7 +290,7 @@ def _verified(store: Store) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary(), pa.int32(), pa.int64()], strict=True)], names=["digest", "n", "crc"])
 
     dealt = dealt_by_bytes(store.index.select("digest", "n", "pack", "offset"), "pack", "offset", F.col("n") * width)
-    return dealt.mapInArrow(run, "digest binary, n int, crc long")
+    return dealt.mapInArrow(lean(run), "digest binary, n int, crc long")
 
 
 def _same_digest(data: bytes, digest: bytes) -> None:
@@ -339,7 +339,7 @@ def read(store: Store) -> DataFrame:
                 sums.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def documents(store: Store, wanted: DataFrame | None = None) -> DataFrame:
@@ -375,4 +375,4 @@ def documents(store: Store, wanted: DataFrame | None = None) -> DataFrame:
             if rows:
                 yield put_together(rows)
 
-    return joined.mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return joined.mapInArrow(lean(run), "doc_id long, start long, ids array<int>")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import coalesced, dealt_by_bytes, filesystem, new_folder, scratch, sized, spread, staged
+from millrace.llm.common import coalesced, dealt_by_bytes, filesystem, lean, new_folder, scratch, sized, spread, staged
 
 #: Bytes after which a task begins another archive file.
 ROLL = 512 << 20
@@ -105,7 +105,7 @@ def _written(pages: DataFrame) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return staged(marked.mapInArrow(run, INDEX), "warc-index", keep=True)
+    return staged(marked.mapInArrow(lean(run), INDEX), "warc-index", keep=True)
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -153,4 +153,4 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
         if handle is not None:
             handle.close()
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lean(run), schema)
