@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ TABLE_LINE = r"(?Udm)^\s*\|.*\|\s*$"
 HEADING_LINE = r"(?Udm)^#{1,6}\s"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: The characters of SPACE.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MOST_GARBAGE, MOST_CID, MOST_NUMERIC, LEAST_YIELD = 0.02, 0.03, 0.35, 0.02
 SHATTER_LINES, YIELD_SIZE, STRUCTURE_SIZE = 20, 4096, 32768
 
@@ -26,7 +28,12 @@ def squeezed(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def duration(ms: Column) -> Column:
@@ -120,7 +127,7 @@ def has_upper_bound(spec: Column) -> Column:
 def unit_vector(v: Column) -> Column:
     """A vector divided by its length; the zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
+    return once(norm, lambda n: F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -134,11 +141,15 @@ def text_lines(text: Column) -> Column:
 
 def grade(markdown: Column, source_size: Column, check_yield: bool = True) -> Column:
     """fidelity, lost and warnings of a conversion: the first defect found, else high."""
-    lines = text_lines(markdown)
-    n = F.greatest(F.size(lines), F.lit(1))
-    share = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern))) / n
+    counted = lambda lines, pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+    measures = once(text_lines(markdown), lambda lines: F.struct(F.size(lines).alias("n"), counted(lines, CID_TOKEN).alias("cid"), counted(lines, NUMERIC_LINE).alias("numeric")))
+    return once(measures, lambda m: _graded(markdown, source_size, check_yield, m))
+
+
+def _graded(markdown: Column, source_size: Column, check_yield: bool, m: Column) -> Column:
+    n = F.greatest(m["n"], F.lit(1))
     garbage = F.regexp_count(markdown, F.lit(GARBAGE)) / F.greatest(F.length(markdown), F.lit(1))
-    cid, numeric = share(CID_TOKEN), share(NUMERIC_LINE)
+    cid, numeric = m["cid"] / n, m["numeric"] / n
 
     def verdict(fidelity: str, lost: Sequence[str], warning: Column | None) -> Column:
         texts = F.array(warning) if warning is not None else F.array().cast("array<string>")
@@ -148,7 +159,7 @@ def grade(markdown: Column, source_size: Column, check_yield: bool = True) -> Co
     result = F.when(stripped(markdown) == "", verdict("failed", ["all"], F.lit("empty_output")))
     result = result.when(garbage > MOST_GARBAGE, verdict("partial", ["encoding"], three("encoding_garbage_density", garbage)))
     result = result.when(cid > MOST_CID, verdict("partial", ["encoding"], three("cid_glyph_leak_line_fraction", cid)))
-    result = result.when((F.size(lines) >= SHATTER_LINES) & (numeric > MOST_NUMERIC), verdict("partial", ["table_structure"], three("shattered_table_numeric_line_fraction", numeric)))
+    result = result.when((m["n"] >= SHATTER_LINES) & (numeric > MOST_NUMERIC), verdict("partial", ["table_structure"], three("shattered_table_numeric_line_fraction", numeric)))
     if check_yield:
         low = F.concat(F.lit("low_yield="), F.length(markdown).cast("string"), F.lit("/"), source_size.cast("string"))
         result = result.when((source_size > YIELD_SIZE) & (F.length(markdown) < source_size * LEAST_YIELD), verdict("partial", ["content"], low))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions.native import stripped
 
-# Core error kinds with status, exit code and whether a retry helps.
-ERROR_KINDS: dict[str, tuple[int, int, bool]] = {
+# Core error kinds with status, exit code (none for a bug) and whether a retry helps.
+ERROR_KINDS: dict[str, tuple[int | None, int | None, bool]] = {
     "input": (400, 2, False),
     "auth": (401, 77, False),
     "policy": (403, 77, False),
     "infra": (503, 75, True),
+    "bug": (None, None, False),
 }
 ENVELOPE_VERSION = "1"
 

@@ -19,11 +19,11 @@ def token_totals(usage: DataFrame) -> DataFrame:
 def priced(usage: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
     """Adds cost_usd: a model's own price, else that of the first listed model whose name its name begins with, else 0.
 
-    prices: place, known, input, output (per million tokens), a small table; models are joined once each.
+    prices: place, known, input, output (per million tokens).  Each distinct model is joined by the beginnings of its name, as equal keys.
     """
     models = usage.select(F.col(model).alias("_model")).distinct()
-    fits = F.col("_model").startswith(F.col("known"))
-    best = models.join(prices, fits).groupBy("_model").agg(F.min_by(F.struct("input", "output"), F.struct(F.col("_model") != F.col("known"), F.col("place"))).alias("_price"))
+    beginnings = F.transform(F.sequence(F.lit(0), F.length("_model")), lambda n: F.substring(F.col("_model"), F.lit(1), n))
+    best = models.select("_model", F.explode(beginnings).alias("known")).join(prices, "known").groupBy("_model").agg(F.min_by(F.struct("input", "output"), F.struct(F.col("_model") != F.col("known"), F.col("place"))).alias("_price"))
     total = token_totals(usage).join(best, F.col(model) == F.col("_model"), "left").drop("_model")
     c = [F.col(x) for x in USAGE]
     return total.withColumn("cost_usd", token_cost(*c, F.col("_price.input"), F.col("_price.output"))).drop("_price")
@@ -32,6 +32,7 @@ def priced(usage: DataFrame, prices: DataFrame, model: str = "model") -> DataFra
 def _glob(pattern: Column) -> Column:
     """A file-name pattern as a regular expression over the whole text."""
     quoted = F.regexp_replace(pattern, r"([\\.+^${}()|])", r"\\$1")
+    quoted = F.regexp_replace(quoted, r"\[(?!!?\]?[^\]]*\])", r"\\[")  # a bracket without end stands for itself
     return F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^")), F.lit(r"\z"))
 
 

@@ -83,31 +83,45 @@ class Options:
     include_tables: bool = True
 
 
+def _skipped(node: Node, o: Options) -> bool:
+    if node.tag is None or node.tag in CHROME or node.tag == "table" and not o.include_tables:
+        return True
+    words = set(f"{node.get('class') or ''} {node.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split())
+    return bool(words & COMMENTS) and not o.include_comments
+
+
 def _pruned(node: Node, o: Options) -> str:
     """Markup of a subtree without page chrome; links, tables and comment sections as the options say."""
-    parts: list[str] = []
-    for child in node.children:
-        if isinstance(child, str):
-            parts.append(child.replace("&", "&amp;").replace("<", "&lt;"))
-            continue
-        if child.tag is None or child.tag in CHROME or child.tag == "table" and not o.include_tables:
+    out: list[str] = []
+    waiting: list[Node | str | int] = node.children[::-1]  # a number ends a heading whose text began there; other endings are markup
+    ends: list[str] = []
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, int):
+            if child < 0:
+                out.append(ends.pop())
+            else:
+                out[child:] = ["".join(out[child:]).strip(), "</p>"]
+        elif isinstance(child, str):
+            out.append(child.replace("&", "&amp;").replace("<", "&lt;"))
+        elif _skipped(child, o):
             continue
-        words = set(f"{child.get('class') or ''} {child.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split())
-        if words & COMMENTS and not o.include_comments:
-            continue
-        if child.tag == "br":
-            parts.append("<br>")
-        elif child.tag in HEADINGS:
-            parts.append(f"<p>{'#' * int(child.tag[1])} {_pruned(child, o).strip()}</p>")
+        elif child.tag == "br":
+            out.append("<br>")
         elif child.tag == "table":
-            parts.append(f"<p>{_table(child, o)}</p>")
-        elif child.tag == "a" and o.include_links and child.get("href"):
-            parts.append(f'<a href="{child.attrs["href"].replace("&", "&amp;").replace(chr(34), "&quot;")}">{_pruned(child, o)}</a>')
-        elif child.tag == "a":
-            parts.append(_pruned(child, o))
+            out.append(f"<p>{_table(child, o)}</p>")
+        elif child.tag in HEADINGS:
+            out.append(f"<p>{'#' * int(child.tag[1])} ")
+            waiting += [len(out), *child.children[::-1]]
         else:
-            parts.append(f"<{child.tag}>{_pruned(child, o)}</{child.tag}>")
-    return "".join(parts)
+            linked = child.tag == "a" and o.include_links and child.get("href")
+            if linked:
+                out.append(f'<a href="{child.attrs["href"].replace("&", "&amp;").replace(chr(34), "&quot;")}">')
+            elif child.tag != "a":
+                out.append(f"<{child.tag}>")
+            ends.append(f"</{child.tag}>" if linked or child.tag != "a" else "")
+            waiting += [-1, *child.children[::-1]]
+    return "".join(out)
 
 
 def _table(node: Node, o: Options) -> str:

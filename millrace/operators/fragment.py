@@ -47,32 +47,21 @@ def to_markdown(fragment: str | None, base_url: str | None = None) -> str:
     return _GAPS.sub("\n\n", _LINE_ENDS.sub("\n", text)).strip()
 
 
-def _inside(node: Node, out: list[str], base_url: str | None) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(child)
+def _element(root: Node, out: list[str], base_url: str | None) -> None:
+    """Writes an element; open elements wait on a list with what ends them, links with the place their text begins."""
+    waiting: list[str | Node | tuple[str, int]] = [root]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif isinstance(node, tuple):
+            href, start = node
+            text = "".join(out[start:]).strip()
+            out[start:] = [f"[{text}]({urljoin(base_url, href) if base_url else href})" if href else text]
+        elif node.tag == "br":
+            out.append("\n")
         else:
-            _element(child, out, base_url)
-
-
-def _element(node: Node, out: list[str], base_url: str | None) -> None:
-    before, after = "", ""
-    if node.tag in MARKERS:
-        before = after = MARKERS[node.tag]
-    elif node.tag == "br":
-        out.append("\n")
-        return
-    elif node.tag == "li":
-        before, after = "\n- ", "\n"
-    elif node.tag == "a":
-        label: list[str] = []
-        _inside(node, label, base_url)
-        href = node.get("href") or ""
-        text = "".join(label).strip()
-        out.append(f"[{text}]({urljoin(base_url, href) if base_url else href})" if href else text)
-        return
-    elif node.tag in APART:
-        after = "\n\n"
-    out.append(before)
-    _inside(node, out, base_url)
-    out.append(after)
+            mark = MARKERS.get(node.tag, "")
+            out.append("\n- " if node.tag == "li" else mark)
+            waiting.append((node.get("href") or "", len(out)) if node.tag == "a" else "\n" if node.tag == "li" else mark or "\n\n" * (node.tag in APART))
+            waiting += node.children[::-1]

@@ -110,7 +110,7 @@ def ld_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH x AS (SELECT p_partkey, unnest(['next_data', 'ld_json', 'generic', 'microdata', 'opengraph', 'window_var']) AS source, unnest([0, 1, 2, 3, 4, 5]) AS pos, p_partkey % 2 = 0 AS strong FROM part WHERE p_partkey <= 500)
+    """WITH x AS (SELECT p_partkey, unnest(['next_data', 'ld_json', 'generic', 'microdata', 'opengraph', 'window_var']) AS source, unnest([0, 1, 2, 3, 4, 5]) AS pos, p_partkey % 2 = 0 AS strong FROM part)
     SELECT p_partkey, source, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE source WHEN 'ld_json' THEN CASE WHEN strong THEN 0 ELSE 4 END WHEN 'microdata' THEN 4 WHEN 'next_data' THEN 2 WHEN 'opengraph' THEN 3 WHEN 'window_var' THEN 5 ELSE 6 END,
     CASE source WHEN 'ld_json' THEN 0 ELSE 1 END) AS rank FROM x"""
 )

@@ -1,4 +1,4 @@
-"""All registered queries of the reference's operators."""
+"""All registered queries outside the training-data operators."""
 
 from __future__ import annotations
 

@@ -28,9 +28,9 @@ def sync_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", "paths", "s.branch", "s.clean", "s.ahead", "s.behind")
 
 
-@query("SELECT s_suppkey, (['input', 'auth', 'policy', 'infra', 'infra'])[s_suppkey % 6 + 1] AS base_kind, ([false, false, false, true, false])[s_suppkey % 6 + 1] AS retryable, ([400, 401, 403, 503, 503])[s_suppkey % 6 + 1]::INTEGER AS status FROM supplier WHERE s_suppkey % 6 < 5")
+@query("SELECT s_suppkey, (['input', 'auth', 'policy', 'infra', 'infra', 'bug'])[s_suppkey % 7 + 1] AS base_kind, ([false, false, false, true, false, false])[s_suppkey % 7 + 1] AS retryable, ([400, 401, 403, 503, 503, NULL])[s_suppkey % 7 + 1]::INTEGER AS status FROM supplier WHERE s_suppkey % 7 < 6")
 def error_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, ("input", "auth", "policy", "infra", "rate_limit", "unknown"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("input", "auth", "policy", "infra", "rate_limit", "bug", "unknown"))), (F.col("s_suppkey") % 7 + 1).cast("int"))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", shapes.error_envelope(kind, F.lit("E"), F.lit(None).cast("string"), {"rate_limit": ("infra", False)}).alias("e"))
     return rows.where("e IS NOT NULL").select("s_suppkey", "e.base_kind", "e.retryable", F.col("e.http_status").alias("status"))
 

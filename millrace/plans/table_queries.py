@@ -180,7 +180,7 @@ def dup_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.groups(docs, "body", "doc_id")
 
 
-_FACTS = "SELECT p_partkey AS ord, p_brand AS package, p_type AS file, '_' || p_size AS name, p_partkey % 7 AS stmt_count, p_partkey % 11 = 0 AS is_dunder, p_size::VARCHAR || p_type AS body_hash FROM part WHERE p_partkey <= 2000"
+_FACTS = "SELECT p_partkey AS ord, p_brand AS package, p_type AS file, '_' || p_size AS name, p_partkey % 7 AS stmt_count, p_partkey % 11 = 0 AS is_dunder, p_size::VARCHAR || p_type AS body_hash FROM part"
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,7 @@ def duplicate_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.same_bodies(_facts(spark, sf_dir)).select("a_ord", "b_ord")
 
 
-@query(f"WITH f AS ({_FACTS}) SELECT a.ord AS a_ord, b.ord AS b_ord FROM f a JOIN f b ON a.name = b.name AND a.ord < b.ord AND a.file <> b.file AND a.package <> b.package WHERE NOT a.is_dunder AND NOT b.is_dunder AND a.ord <= 300 AND b.ord <= 300")
+@query(f"WITH f AS ({_FACTS}) SELECT a.ord AS a_ord, b.ord AS b_ord FROM f a JOIN f b ON a.name = b.name AND a.ord < b.ord AND a.file <> b.file AND a.package <> b.package WHERE NOT a.is_dunder AND NOT b.is_dunder")
 def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.same_names(_facts(spark, sf_dir), cross_package=True).select("a_ord", "b_ord")
 

@@ -8,15 +8,15 @@ from millrace.functions.dom import parse
 from millrace.operators import content, fragment, payloads, records, schema, wobble
 from millrace.operators.wobble import DEFAULT, DERIVE, OPTIONAL, SKIP, STRICT, Policy
 
-CARD = "<article class='Box-row'><a href='/s{i}'>Star</a><h2><a href='/r{i}'>owner / repo{i}</a></h2><p>A description of reasonable length, number {i}.</p></article>"
+CARD = "<article class='stall old'><a href='/s{i}'>Visit</a><h2><a href='/r{i}'>Market stall {i}</a></h2><p>A description of reasonable length, number {i}.</p></article>"
 
 
 def test_flat_listing():
     found = records.records("<div id=list>" + "".join(CARD.format(i=i) for i in range(8)) + "</div>", "http://h/")
-    assert (len(found.records), found.max_depth, found.child_signature, found.container) == (8, 0, "article.Box-row", "div.-")
+    assert (len(found.records), found.max_depth, found.child_signature, found.container) == (8, 0, "article.stall", "div.-")
     first = found.records[0]
-    assert first.heading_text == "owner / repo0" and first.heading_link == ("owner / repo0", "http://h/r0")
-    assert first.markdown == "- [owner / repo0](http://h/r0)\n  Star A description of reasonable length, number 0\n  [Star](http://h/s0)"
+    assert first.heading_text == "Market stall 0" and first.heading_link == ("Market stall 0", "http://h/r0")
+    assert first.markdown == "- [Market stall 0](http://h/r0)\n  Visit A description of reasonable length, number 0\n  [Visit](http://h/s0)"
     assert found.markdown().startswith("### Listing (8 records)\n\n- [")
 
 
@@ -48,7 +48,7 @@ def test_heading_spellings_and_their_control():
 
 @pytest.mark.parametrize(("n", "kept"), [(12, 12), (2, None), (60, 50)])
 def test_definition_lists(n, kept):
-    page = "<dl>" + "".join(f"<dt><a href='/abs/{i}'>[{i}]</a><dd><div><span>Title</span><span>words of the paper {i}</span></div>" for i in range(n)) + "</dl>"
+    page = "<dl>" + "".join(f"<dt><a href='/lot/{i}'>[{i}]</a><dd><div><span>Title</span><span>words of the paper {i}</span></div>" for i in range(n)) + "</dl>"
     found = records.records(page)
     assert (found and len(found.records)) == kept
     if found:
@@ -150,3 +150,12 @@ def test_fences():
     text = "a\n```python\nx=1\n```\nb\n```json\n[1\n```\nc"
     assert wobble.without_fenced_blocks(text) == "a\n```python\nx=1\n```\nb\n\nc"
     assert wobble.without_fenced_blocks(text, json_only=False) == "a\n\nb\n\nc"
+
+
+def test_deep_pages_do_not_raise():
+    deep = "<div>" * 5_000 + "x" + "</div>" * 5_000
+    assert fragment.to_markdown(deep) == "x" and fragment.to_text(deep) == "x"
+    nested = "<div itemscope itemprop=a>" * 3_000 + "x"
+    payloads.payloads(parse(nested))
+    held = "<section><div class=r><b>" + "<i>" * 5_000 + "Deep text of a record</div></section>"
+    assert "Deep text" in records.own_text(parse(held).children[1], records.NO_KIND)
