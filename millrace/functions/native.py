@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 # Patterns and thresholds of the conversion grade.
 GARBAGE = r"[�\x00-\x08\x0b\x0c\x0e-\x1f]"
-CID_TOKEN = r"\(cid:(?U)\d+\)"
-NUMERIC_LINE = r"^(?U)\s*[\d,.\-()%$¥€]{1,20}\s*$"
+CID_TOKEN = r"\(cid:\d+\)"
+NUMERIC_RUN = r"[\d,.\-()%$¥€]{1,20}"
 TABLE_LINE = r"(?Udm)^\s*\|.*\|\s*$"
 HEADING_LINE = r"(?Udm)^#{1,6}\s"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+_BLANK, _REST = rf"[\s&&[^{_BREAKS}]]*+", rf"[^{_BREAKS}]*+"
+#: Matches over a whole text, one for each line that is not blank, that holds a glyph token, that is numbers alone.
+GRADED_LINES = {
+    "n": rf"(?U)[^\s\x1c-\x1f]{_REST}",
+    "cid": rf"(?U){CID_TOKEN}{_REST}",
+    "numeric": rf"(?U)(?<![^{_BREAKS}]){_BLANK}{NUMERIC_RUN}+{_BLANK}(?![^{_BREAKS}])",
+}
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: The characters of SPACE.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -141,9 +149,8 @@ def text_lines(text: Column) -> Column:
 
 def grade(markdown: Column, source_size: Column, check_yield: bool = True) -> Column:
     """fidelity, lost and warnings of a conversion: the first defect found, else high."""
-    counted = lambda lines, pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
-    measures = once(text_lines(markdown), lambda lines: F.struct(F.size(lines).alias("n"), counted(lines, CID_TOKEN).alias("cid"), counted(lines, NUMERIC_LINE).alias("numeric")))
-    return once(measures, lambda m: _graded(markdown, source_size, check_yield, m))
+    counts = lambda md: F.struct(md.alias("md"), *[F.regexp_count(md, F.lit(pattern)).alias(name) for name, pattern in GRADED_LINES.items()])
+    return once(markdown, lambda md: once(counts(md), lambda m: _graded(m["md"], source_size, check_yield, m)))
 
 
 def _graded(markdown: Column, source_size: Column, check_yield: bool, m: Column) -> Column:
@@ -156,7 +163,7 @@ def _graded(markdown: Column, source_size: Column, check_yield: bool, m: Column)
         return F.struct(F.lit(fidelity).alias("fidelity"), F.array(*map(F.lit, lost)).cast("array<string>").alias("lost"), texts.alias("warnings"))
 
     three = lambda name, value: F.concat(F.lit(name + "="), F.format_number(value, 3))
-    result = F.when(stripped(markdown) == "", verdict("failed", ["all"], F.lit("empty_output")))
+    result = F.when(m["n"] == 0, verdict("failed", ["all"], F.lit("empty_output")))
     result = result.when(garbage > MOST_GARBAGE, verdict("partial", ["encoding"], three("encoding_garbage_density", garbage)))
     result = result.when(cid > MOST_CID, verdict("partial", ["encoding"], three("cid_glyph_leak_line_fraction", cid)))
     result = result.when((m["n"] >= SHATTER_LINES) & (numeric > MOST_NUMERIC), verdict("partial", ["table_structure"], three("shattered_table_numeric_line_fraction", numeric)))

@@ -77,9 +77,12 @@ def parsed_pages(pages: DataFrame, parts: list[str], html: str = "html") -> Data
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small input that came in few splits out to all cores before a Python operator."""
+    """Deals a scan that came in fewer splits than there are cores out to all of them; anything above an exchange is dealt already."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
 def _record_set(found: records.RecordSet | None) -> dict[str, Any] | None:
