@@ -55,9 +55,9 @@ def duration(ms: Column) -> Column:
     )
 
 
-def region_replaced(body: Column, content: Column, start: str, end: str) -> Column:
-    """Writes content between two markers of a text, or after its end where there is no pair yet."""
-    trimmed = F.regexp_replace(content, r"\n+\z", "")
+def region_replaced(body: Column, content: Column, start: str, end: str, escape: Callable[[Column], Column] | None = None) -> Column:
+    """Writes content, escaped first where asked, between two markers of a text, or after its end where there is no pair yet."""
+    trimmed = F.regexp_replace(escape(content) if escape else content, r"\n+\z", "")
     block = F.concat(F.lit(start + "\n"), trimmed, F.lit("\n" + end))
     s, e = F.instr(body, start), F.instr(body, end)
     inside = F.concat(F.substr(body, F.lit(1), s - 1), block, F.substr(body, e + F.lit(len(end))))
@@ -91,6 +91,14 @@ def fetch_verdict(status: Column) -> Column:
     return F.when(status == 404, "not_found").when(status == 429, "rate_limited").when(status >= 400, "connection_error").otherwise("ok")
 
 
+# Verdicts that count against a host; an answer such as 404 or 429 does not.
+TRIPPING = ("timeout", "connection_error", "dns_error", "proxy_unavailable")
+
+
+def trips_breaker(verdict: Column) -> Column:
+    return F.coalesce(verdict.isin(*TRIPPING), F.lit(False))
+
+
 def is_challenge(status: Column, resource: Column) -> Column:
     """A status that asks for proof, on a script's request."""
     return status.isin(401, 403, 429) & resource.isin("xhr", "fetch")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.native import conditional_headers
+from millrace.operators.pages import with_row_functions
 
 
 def upserted(stored: DataFrame, puts: DataFrame, key: list[str], written: str) -> DataFrame:
@@ -33,3 +37,20 @@ def evicted(stored: DataFrame, now: Column, expires: str = "expires_at") -> tupl
 
 def revalidation_headers(stored: DataFrame, etag: str = "etag", last_modified: str = "last_modified") -> DataFrame:
     return stored.withColumn("headers", conditional_headers(F.col(etag), F.col(last_modified)))
+
+
+def counted(stored: DataFrame) -> DataFrame:
+    """The number of stored rows, expired ones among them."""
+    return stored.agg(F.count("*").alias("rows"))
+
+
+def packed_bodies(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Bodies as gzip with the SHA-256 of what they were; equal bodies give equal bytes, null stays null."""
+    hashed = rows.withColumn("content_hash", F.sha2(F.col(body), 256))
+    made = with_row_functions(hashed, {"_packed": (body, T.BinaryType(), lambda b: None if b is None else gzip.compress(b, 6, mtime=0))})
+    return made.withColumn(body, F.col("_packed")).drop("_packed")
+
+
+def unpacked_bodies(rows: DataFrame, body: str = "body") -> DataFrame:
+    made = with_row_functions(rows, {"_body": (body, T.BinaryType(), lambda b: None if b is None else gzip.decompress(b))})
+    return made.withColumn(body, F.col("_body")).drop("_body")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,12 +87,71 @@ def array_table(rows: Column, kind: T.ArrayType) -> Column:
     return F.when(F.size(rows) == 0, F.lit("\n")).otherwise(F.concat(F.lit(header([f.name for f in fields])), F.array_join(lines, "")))
 
 
+def envelope(fields: dict[str, tuple[Column, T.DataType]], tsv_fields: tuple[str, ...]) -> Column:
+    """Named values as JSON text, those of tsv_fields as tables with their format beside them.
+
+    A null field stays out with its format. A text counts as a finished table. A list of other things than rows stays
+    JSON, unless it is empty; what is no list at all becomes the empty table.
+    """
+    written, marks = [], {}
+    for name, (value, kind) in fields.items():
+        there, text = value.isNotNull(), value
+        if name not in tsv_fields or isinstance(kind, T.StringType):
+            written.append(value.alias(name))
+        elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.StructType):
+            there = F.size(value) == 0
+            written += [F.when(there, "\n").alias(name), F.when(~there, value).alias(name)]
+        else:
+            text = array_table(value, kind) if isinstance(kind, T.ArrayType) else F.lit("\n")
+            written.append(F.when(there, text).alias(name))
+        marks[name] = F.when(there, TSV).alias(f"_{name}_format")
+    return F.to_json(F.struct(*written, *[marks[n] for n in tsv_fields if n in marks]))
+
+
 def encoded(df: DataFrame, names: list[str], tsv_fields: tuple[str, ...]) -> Column:
-    """An envelope as JSON text, each table field with its format beside it; a null table field stays out."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    plain = [array_table(F.col(n), kinds[n]).alias(n) if n in tsv_fields else F.col(n) for n in names]
-    marks = [F.when(F.col(n).isNotNull(), F.lit(TSV)).alias(f"_{n}_format") for n in tsv_fields]
-    return F.to_json(F.struct(*plain, *marks))
+    """Columns as an envelope."""
+    return envelope({n: (F.col(n), df.schema[n].dataType) for n in names}, tsv_fields)
+
+
+def json_text(value: Column, kind: T.DataType) -> Column:
+    """A value as compact JSON; null fields of structs stay out."""
+    if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+        return F.to_json(value)
+    boxed = F.to_json(F.array(value))
+    return F.substr(boxed, F.lit(2), F.length(boxed) - 2)
+
+
+def rendered(value: Column, kind: T.DataType, consumer: Column, chosen: Plan | None = None) -> Column:
+    """A value as text, format and structured JSON for a consumer: compressed by its plan for `llm`, plain JSON for all others.
+
+    Only a bare table has the format tsv; pages and envelopes are JSON around tables. A plan that does not fit the type gives JSON.
+    """
+    chosen = chosen or plan(kind)
+    plain = json_text(value, kind)
+    compact, name = plain, JSON
+    if chosen.kind == TSV:
+        compact, name = array_table(value, kind) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else F.lit("\n"), TSV
+    elif chosen.kind in (PAGE, ENVELOPE) and isinstance(kind, T.StructType):
+        tables_in = ("items",) if chosen.kind == PAGE else chosen.tsv_fields
+        compact = envelope({f.name: (value[f.name], f.dataType) for f in kind.fields}, tables_in)
+    llm = consumer == "llm"
+    return F.struct(F.when(llm, compact).otherwise(plain).alias("text"), F.when(llm, name).otherwise(JSON).alias("format"), plain.alias("structured"))
+
+
+def pruned(value: Column, kind: T.DataType, inner: bool = True) -> Column:
+    """A value whose structs lose null and empty fields at every depth, from the inside out; false and 0 stay.
+
+    Empty fields become null, which `json_text` leaves out. Elements of a list stay, pruned, even when nothing is left of them.
+    """
+    if isinstance(kind, T.StructType):
+        fields = [pruned(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        left = reduce(or_, [f.isNotNull() for f in fields], F.lit(not inner))
+        return F.when(left & value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.when(F.size(value) > 0, F.transform(value, lambda x: pruned(x, kind.elementType, inner=False)) if isinstance(kind.elementType, T.StructType) else value)
+    if isinstance(kind, T.MapType):
+        return F.when(F.size(value) > 0, value)
+    return F.when(value != "", value) if isinstance(kind, T.StringType) else value
 
 
 def first_seen_columns(rows: DataFrame, fields: str, position: str) -> DataFrame:
@@ -106,6 +167,27 @@ def sparse_lines(rows: DataFrame, fields: str, position: str, columns: list[str]
     return rows.select(F.col(position), F.concat_ws("\t", *cells).alias("line"))
 
 
+def sparse_table(rows: DataFrame, fields: str, position: str) -> DataFrame:
+    """Rows of a string map as one table: position, header and line, the header of all keys in the order they are first met.
+
+    The header is one row, as long as there are distinct keys, and goes to every task.
+    """
+    met = first_seen_columns(rows, fields, position).select(F.struct("row", "at", "column").alias("c"))
+    head = met.agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["column"]).alias("_columns"))
+    head = head.withColumn("header", F.array_join(F.transform("_columns", escaped_cell), "\t"))
+    cells = F.transform("_columns", lambda c: F.coalesce(escaped_cell(F.element_at(F.col(fields), c)), F.lit("")))
+    return rows.select(position, fields).crossJoin(F.broadcast(head)).select(position, "header", F.array_join(cells, "\t").alias("line"))  # by one row
+
+
+def viewed(value: Column, kind: T.DataType, fields: list[str], page_size: int | None = None) -> Column:
+    """The listed fields that exist and the first rows of a list of rows; any other value passes as it is."""
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)):
+        return value
+    cut = F.slice(value, 1, page_size) if page_size is not None and page_size > 0 else value
+    kept = [f for f in fields if f in kind.elementType.names]
+    return F.transform(cut, lambda r: F.struct(*[r[f].alias(f) for f in kept]) if kept else F.create_map().cast("map<string,string>")) if fields else cut
+
+
 def list_view(df: DataFrame, fields: list[str], order: list[Column], page_size: int | None = None) -> DataFrame:
     """The listed fields that exist, in that order, and the first rows of a given order."""
     kept = df

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import tomllib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -42,6 +42,38 @@ def engine_for(path: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in ENGINES.items() for x in pair]), suffix)
 
 
+#: A conversion: the text, the engine that made it or was tried last, and what went wrong.
+CONVERTED = T.StructType([T.StructField(n, T.StringType()) for n in ("markdown", "engine", "fidelity")] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("lost", "warnings")])
+
+
+class ConversionError(Exception):
+    """What an engine raises for a document that it can't convert; any other exception fails the task."""
+
+
+def converter(chains: Mapping[str, Sequence[tuple[str, Callable[[bytes], str]]]]) -> Callable[[dict], dict]:
+    """A row function over (path, content): the first engine of the suffix's chain that does not refuse.
+
+    All refusing, or no chain for the suffix: an empty text, fidelity `failed`, lost `all`, and the reasons.
+    What an engine gives has no fidelity yet; `native.grade` judges it.
+    """
+
+    def failed(engine: str, reasons: list[str]) -> dict:
+        return {"markdown": "", "engine": engine, "fidelity": "failed", "lost": ["all"], "warnings": reasons}
+
+    def run(row: dict) -> dict:
+        suffix = Path(row["path"]).suffix.lower()
+        refused: list[str] = []
+        name = "none"
+        for name, engine in chains.get(suffix[1:], ()):
+            try:
+                return {"markdown": engine(row["content"]), "engine": name, "fidelity": None, "lost": [], "warnings": []}
+            except ConversionError as e:
+                refused.append(str(e))
+        return failed(name, refused or [f"unsupported_format:{suffix or 'none'}"])
+
+    return run
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder with their engine: path, content, engine."""
     return spark.read.format("binaryFile").load(path).select("path", "content", engine_for(F.col("path")).alias("engine"))
