@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from datetime import date, datetime
 from typing import Any
 
 from millrace.functions.dom import HEADINGS, Node, parse, select
@@ -74,6 +75,23 @@ def metadata(root: Node) -> dict[str, str]:
     return out
 
 
+#: Where a page states its date, the surest first: selector and attribute.
+DATED = (("meta[property='article:published_time']", "content"), ("meta[itemprop='datePublished']", "content"), ("meta[name='date']", "content"), ("time[datetime]", "datetime"))
+
+
+def _day(value: str | None) -> date | None:
+    try:
+        return datetime.strptime((value or "")[:10], "%Y-%m-%d").date()  # noqa: DTZ007
+    except ValueError:
+        return None
+
+
+def published(root: Node) -> date | None:
+    """The day of publication: of the JSON-LD block, else of the first mark that holds a valid date; null without one."""
+    stated = [metadata(root).get("jsonld[0].datePublished"), *(m.get(attribute) for selector, attribute in DATED for m in select(root, selector))]
+    return next((day for day in map(_day, stated) if day), None)
+
+
 @dataclass(frozen=True)
 class Options:
     """What the main content keeps."""
@@ -81,10 +99,15 @@ class Options:
     include_links: bool = False
     include_comments: bool = False
     include_tables: bool = True
+    dropped: frozenset[str] = CHROME
+
+
+#: Everything that is text: for markup that is clean already.
+CLEAN = Options(True, True, True, frozenset({"script", "style", "noscript", "template"}))
 
 
 def _skipped(node: Node, o: Options) -> bool:
-    if node.tag is None or node.tag in CHROME or node.tag == "table" and not o.include_tables:
+    if node.tag is None or node.tag in o.dropped or node.tag == "table" and not o.include_tables:
         return True
     words = set(f"{node.get('class') or ''} {node.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split())
     return bool(words & COMMENTS) and not o.include_comments
@@ -147,5 +170,11 @@ def main_content(root: Node, options: Options = Options()) -> str:  # noqa: B008
     return to_markdown(_pruned(chosen, options))
 
 
+def converted(root: Node, clean: bool = False, options: Options = Options()) -> tuple[str, str]:  # noqa: B008
+    """Markdown and the way it was made: `main` content of a web page, or all of the body, `clean`, where asked or where there is none."""
+    markdown = "" if clean else main_content(root, options)
+    return (markdown, "main") if markdown.strip() else (to_markdown(_pruned(root.children[1], CLEAN)), "clean")
+
+
 def parsed(page: str | None) -> Node:
     return parse(page or "")

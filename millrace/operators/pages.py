@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.functions.dom import parse
+from millrace.functions.native import grade
 from millrace.operators import content, fragment, payloads, records, schema, wobble
 
 _S, _L = T.StringType(), T.LongType()
@@ -40,7 +41,10 @@ PARTS: dict[str, tuple[T.DataType, Callable[[Any], Any]]] = {
     "metadata": (T.MapType(_S, _S), lambda root: list(content.metadata(root).items())),
     "payloads": (T.ArrayType(PAYLOAD), lambda root: [_payload(p) for p in payloads.payloads(root)]),
     "main_content": (_S, content.main_content),
+    "published": (T.DateType(), content.published),
 }
+#: The parts of a page as a document.
+DOCUMENT = ["main_content", "published", "metadata", "headings", "links"]
 
 
 def _payload(p: payloads.Payload) -> dict[str, Any]:
@@ -85,6 +89,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
+def converted_pages(pages: DataFrame, clean: bool = False, options: content.Options = content.Options(), html: str = "html") -> DataFrame:  # noqa: B008
+    """Adds markdown, engine, fidelity, lost and warnings; a null or empty page, or one without text, is a failed conversion."""
+
+    def run(page: str | None) -> dict[str, str]:
+        return dict(zip(("markdown", "engine"), content.converted(parse(page or ""), clean, options), strict=True))
+
+    sized = pages.withColumn("_size", F.coalesce(F.octet_length(html), F.lit(0)))
+    made = with_row_functions(sized, {"_made": (html, _struct(markdown=_S, engine=_S), run)})
+    rest = [c for c in pages.columns if c != html]
+    graded = made.select(*rest, "_made.markdown", "_made.engine", grade(F.col("_made.markdown"), F.col("_size")).alias("_grade"))
+    blank = F.trim("markdown") == ""
+    warnings = F.when(blank, F.array(F.lit("conversion_failed"))).otherwise(F.col("_grade.warnings"))
+    return graded.select(*rest, "markdown", "engine", "_grade.fidelity", "_grade.lost", warnings.alias("warnings"))
+
+
 def _record_set(found: records.RecordSet | None) -> dict[str, Any] | None:
     if found is None:
         return None

@@ -289,3 +289,31 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = cat("<body><nav>menu</nav><main><h1>", text(F.col("s_name")), "</h1><p>First of ", F.col("s_suppkey"), ".</p><table><tr><th>a<th>b<tr><td>1<td>2</table><div class='comments'>no</div><aside>no</aside></main><footer>f</footer>")
     return P.parsed_pages(table(spark, sf_dir, "supplier").select("s_suppkey", html.alias("html")), ["main_content"])
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 4 THEN NULL ELSE DATE '2024-02-01' + (s_suppkey % 28)::INTEGER END AS published FROM supplier")
+def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date in JSON-LD, in a meta field, in a time element behind a broken one, a stamp cut to its day, and none that is valid."""
+    k = F.col("s_suppkey")
+    day = F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (k % 28).cast("int")), "yyyy-MM-dd")
+    html = (
+        F.when(k % 5 == 0, cat('<time datetime="2001-01-01">x</time><script type="application/ld+json">{"datePublished":"', day, 'T10:00:00Z"}</script>'))
+        .when(k % 5 == 1, cat('<time datetime="2001-01-01">x</time><meta property="article:published_time" content="', day, '">'))
+        .when(k % 5 == 2, cat('<time datetime="soon">x</time><time datetime="', day, '">x</time>'))
+        .when(k % 5 == 3, cat('<meta name="date" content="', day, ' 10:00">'))
+        .otherwise('<time datetime="2024-13-40">x</time>')
+    )
+    return P.parsed_pages(table(spark, sf_dir, "supplier").select("s_suppkey", html.alias("html")), ["published"])
+
+
+@query(
+    """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Of ' || s_name || '.' WHEN 1 THEN 'only ' || s_name WHEN 2 THEN '' ELSE 'menu Of [' || s_name || '](/u).' END AS markdown, CASE WHEN s_suppkey % 4 = 0 THEN 'main' ELSE 'clean' END AS engine,
+    CASE WHEN s_suppkey % 4 = 2 THEN 'failed' ELSE 'high' END AS fidelity, CASE WHEN s_suppkey % 4 = 2 THEN 'all' ELSE '' END AS lost, CASE WHEN s_suppkey % 4 = 2 THEN 'conversion_failed' ELSE '' END AS warnings FROM supplier"""
+)
+def converted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with content, one of chrome alone, an empty one, and one taken as clean."""
+    k, name = F.col("s_suppkey"), text(F.col("s_name"))
+    html = F.when(k % 4 == 1, cat("<body><nav>only ", name, "</nav>")).when(k % 4 == 2, "").otherwise(cat("<body><nav>menu </nav><main>Of <a href='/u'>", name, "</a>.</main>"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", html.alias("html"))
+    web, clean = P.converted_pages(rows.where(k % 4 != 3)), P.converted_pages(rows.where(k % 4 == 3), clean=True)
+    return web.unionByName(clean).select("s_suppkey", "markdown", "engine", "fidelity", F.array_join("lost", ",").alias("lost"), F.array_join("warnings", ",").alias("warnings"))

@@ -57,12 +57,15 @@ def list_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.list_view(table(spark, sf_dir, "orders"), ["o_orderkey", "absent", "o_orderstatus"], [F.col("o_orderkey")], 25)
 
 
-@query("SELECT * FROM (VALUES ('a', 1::BIGINT, 0::BIGINT), ('b', 2, 0), ('c', 3, 1), ('d', 4, 0)) t(\"column\", \"row\", \"at\")")
+@query(
+    """WITH k AS (SELECT p_partkey, list_concat(list_concat(CASE WHEN p_partkey % 4 = 0 THEN ['d'] ELSE [] END, CASE WHEN p_partkey % 2 = 1 THEN ['a'] ELSE [] END), list_concat(CASE WHEN p_partkey % 2 = 0 THEN ['b'] ELSE [] END, CASE WHEN p_partkey % 3 = 0 THEN ['c'] ELSE [] END)) AS keys FROM part),
+    x AS (SELECT p_partkey AS r, unnest(keys) AS c, unnest(range(len(keys))) AS a FROM k) SELECT c AS "column", min(r)::BIGINT AS "row", arg_min(a, r)::BIGINT AS "at" FROM x GROUP BY c"""
+)
 def sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     entry = lambda name, keep: F.when(keep, F.create_map(F.lit(name), F.lit("v"))).otherwise(F.create_map().cast("map<string,string>"))
     fields = F.map_concat(entry("d", k % 4 == 0), entry("a", k % 2 == 1), entry("b", k % 2 == 0), entry("c", k % 3 == 0))
-    rows = table(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey", fields.alias("m"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", fields.alias("m"))
     found = wire.first_seen_columns(rows, "m", "p_partkey")
     return found.select("column", F.col("row").cast("long").alias("row"), F.col("at").cast("long").alias("at"))
 
