@@ -58,13 +58,23 @@ def _part() -> Column:
     return F.floor(F.greatest(F.col("turn"), F.lit(0)) / PART).cast("long").alias("part")
 
 
-def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """pair_id, part, piece, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask from two tables made by `turns`."""
-    row = F.xxhash64("role", "text").cast("decimal(20,0)")
-    narrow = chosen.select("pair_id", "turn", F.lit(1).alias("n"), row.alias("h")).unionAll(rejected.select("pair_id", "turn", F.lit(-1).alias("n"), (-row).alias("h")))
+def _places(rows: DataFrame, *more: Column) -> DataFrame:
+    """pair_id, turn and a hash of each row: what the two sides are compared by."""
+    return rows.select("pair_id", "turn", F.xxhash64("role", "text").cast("decimal(20,0)").alias("h"), *more)
+
+
+def cuts(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """pair_id, cut from the places of both sides: the first turn where they differ, so that earlier ones are the longest common prefix.  Equal sides have no row."""
+    columns = ["pair_id", "turn"]
+    narrow = chosen.select(*columns, F.lit(1).alias("n"), "h").unionAll(rejected.select(*columns, F.lit(-1).alias("n"), (-F.col("h")).alias("h")))
     # Equal rows cancel out: a place differs where counts or sums of hashes are left over.
     differ = narrow.groupBy("pair_id", "turn").agg(F.sum("n").alias("n"), F.sum("h").alias("h")).where("n <> 0 OR h <> 0")
-    cut = differ.groupBy("pair_id").agg(F.min("turn").alias("cut")).select("pair_id", "cut", F.lit(None).cast("long").alias("last"))
+    return differ.groupBy("pair_id").agg(F.min("turn").alias("cut"))
+
+
+def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """pair_id, part, piece, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask from two tables made by `turns`."""
+    cut = cuts(_places(chosen), _places(rejected)).select("pair_id", "cut", F.lit(None).cast("long").alias("last"))
     return assembled(chosen.withColumn("side", F.lit(CHOSEN)).unionByName(rejected.withColumn("side", F.lit(REJECTED))), cut)
 
 
@@ -124,16 +134,18 @@ def with_borrowed_answers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Chosen is each conversation up to its last assistant turn; rejected is the same with the assistant's
     rows of that turn replaced by the last answer of the conversation with the next id, or left out where
     there is no such conversation.  A conversation without an assistant turn is whole on both sides.  Of
-    several assistant rows at the last turn the greatest text is the answer that is lent.
+    several assistant rows at the last turn the greatest text is the answer that is lent.  The cut of a pair
+    is found by comparing its two sides turn by turn, as in `preferences`.
     """
     every = turns(rows)
-    said = every.where(F.col("role") == TRAINED)
-    count = said.groupBy("pair_id", "turn").agg(F.count("*").alias("n")).groupBy("pair_id").agg(F.max(F.struct("turn", "n")).alias("m"))
-    answers = said.groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("a")).select("pair_id", F.col("a.text").alias("text"))
-    last = staged(answers.join(count.select("pair_id", F.col("m.turn").alias("last"), F.col("m.n").alias("n")), "pair_id"), "answers")
-    lent = last.select(F.try_subtract("pair_id", F.lit(1).cast("long")).alias("pair_id"), F.col("text").alias("lent"), F.xxhash64("text").alias("lent_hash"))
-    known = staged(last.select("pair_id", "last", "n", F.xxhash64("text").alias("hash")).join(lent, "pair_id", "left"), "lent")
-    same = F.coalesce((F.col("n") == 1) & (F.col("hash") == F.col("lent_hash")), F.lit(False))
-    pairs = known.select("pair_id", F.when(same, F.lit(NEVER)).otherwise(F.col("last")).alias("cut"), "last")
-    borrowed = known.where("lent IS NOT NULL").select("pair_id", F.col("last").alias("turn"), F.lit(TRAINED).alias("role"), F.col("lent").alias("text"), F.lit(REJECTED).alias("side"))
-    return every.withColumn("side", F.lit(BOTH)).unionByName(borrowed), pairs
+    answers = every.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("a"))
+    last = staged(answers.select("pair_id", F.col("a.turn").alias("last"), F.col("a.text").alias("text")), "answers")
+    lent = last.select(F.try_subtract("pair_id", F.lit(1).cast("long")).alias("pair_id"), F.col("text").alias("lent"))
+    known = staged(last.select("pair_id", "last").join(lent, "pair_id", "left"), "lent")
+    borrowed = known.where("lent IS NOT NULL").select("pair_id", F.col("last").alias("turn"), F.lit(TRAINED).alias("role"), F.col("lent").alias("text"))
+    ends = known.select("pair_id", "last")
+    # Both sides as they stand, as hashes: a conversation without an answer is the same on both and needs no cut.
+    placed = _places(every, (F.col("role") == TRAINED).alias("said")).join(ends, "pair_id").where(F.col("turn") <= F.col("last"))
+    found = cuts(placed, placed.where(~(F.col("said") & (F.col("turn") == F.col("last")))).select("pair_id", "turn", "h").unionAll(_places(borrowed)))
+    pairs = ends.join(found, "pair_id", "left").select("pair_id", "cut", "last")
+    return every.withColumn("side", F.lit(BOTH)).unionByName(borrowed.withColumn("side", F.lit(REJECTED))), pairs

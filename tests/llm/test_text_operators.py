@@ -296,6 +296,22 @@ def test_long_texts_are_rendered_whole(spark):
     assert got[2].rejected == "" and got[2].chosen
 
 
+def test_borrowed_answers_are_cut_where_the_sides_differ(spark, monkeypatch):
+    """The cut comes from comparing both sides turn by turn, and equals that of `preferences` on the two tables."""
+    asked, schema = [], "conv_id long, turn long, role string, text string"
+    compare = chat.cuts
+    monkeypatch.setattr(chat, "cuts", lambda a, b: asked.append((a, b)) or compare(a, b))
+    rows = [(i, k, ["user", "assistant"][k % 2], f"t{k % 3}{i % 2 if k == 3 else ''}") for i in (1, 2, 3, 5, 7, 9) for k in range(4 + i % 3)] + [(4, 0, "user", "alone"), (5, 1, "assistant", "t1"), (9, 3, "assistant", "t")]
+    got = {r.pair_id: r for r in chat.assembled(*chat.with_borrowed_answers(spark.createDataFrame(rows, schema))).collect()}
+    assert len(asked) == 1
+    last = {i: max((k for j, k, role, _ in rows if j == i and role == "assistant"), default=None) for i in {r[0] for r in rows}}
+    answer = {i: max(t for j, k, role, t in rows if (j, k, role) == (i, last[i], "assistant")) for i in last if last[i] is not None}
+    a = [r for r in rows if last[r[0]] is None or r[1] <= last[r[0]]]
+    b = [r for r in a if r[1] != last[r[0]] or r[2] != "assistant"] + [(i, last[i], "assistant", answer[i + 1]) for i in answer if i + 1 in answer]
+    want = {r.pair_id: r for r in chat.preferences(*(chat.turns(spark.createDataFrame(x, schema)) for x in (a, b))).collect()}
+    assert got == want and len(got) == 7
+
+
 def test_chat_uses_no_python_on_executors(spark):
     plan = QUERIES["op4_preference_pairs"](spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|MapPartitions", plan)
