@@ -5,6 +5,7 @@ import dataclasses
 import hashlib
 import io
 import tarfile
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -188,6 +189,21 @@ def test_work_tables_are_removed(messy, tmp_path, monkeypatch):
     assert tokenstore.read(store).count() == messy.count()
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    made = common.staged(spark.range(1000).repartition(3, F.col("id") % 7).groupBy("id").count(), "freed")
+    ends = time.monotonic() + 10
+    while (left := shuffles() - before) and time.monotonic() < ends:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert made.count() == 1000
+
+
 def test_store_of_nothing(nothing):
     assert tokenstore.read(tokenstore.write(nothing, word_tokenizer())).count() == 0
 
