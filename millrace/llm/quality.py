@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD, lean, spread, staged
+from millrace.llm.ngramjoin import keyed, without
 
 #: Fixed by contract: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -163,8 +164,8 @@ def ablation(ledger_rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
-def recorded(docs: DataFrame) -> DataFrame:
-    """The documents (`row`, all columns as they were) beside their ledger columns: measurements and fail_bits."""
+def recorded(docs: DataFrame, *names: Column) -> DataFrame:
+    """The ledger columns of each document, measurements and fail_bits, beside columns that name it."""
 
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -172,10 +173,16 @@ def recorded(docs: DataFrame) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
 
     made = F.arrow_udf(lean(measured), ", ".join(f"{m} long" for m in MEASURES))
-    rows = docs.select(F.struct("*").alias("row")).withColumn("m", made(F.col("row")["text"]))
-    return rows.select("row", "m.*").withColumn("fail_bits", fail_bits())
+    rows = docs.select(*names, made(F.col("text")).alias("m"))
+    return rows.select(*rows.columns[:-1], "m.*").withColumn("fail_bits", fail_bits())
 
 
 def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents, all columns as they were, that a policy keeps: the ledger is written beside them, and the policy's mask filters its bits."""
-    return staged(recorded(docs), "ledger", keep=True).where(passes(F.col("fail_bits"), policy) & passes(F.col("fail_bits"), "base")).select("row.*")
+    """The documents, all columns as they were, that a policy keeps.
+
+    The ledger is written with each row's file and place instead of its text, and those whose bits the policy's mask
+    hits are left out of the documents' own scan.
+    """
+    docs, file, place = keyed(docs)
+    stored = staged(recorded(docs, file.alias("file"), place.alias("place")), "ledger", keep=True)
+    return without(docs, file, place, stored.where(~(passes(F.col("fail_bits"), policy) & passes(F.col("fail_bits"), "base"))).select("file", "place"))
